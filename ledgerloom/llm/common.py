@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,42 +34,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def word_count(text: Column) -> Column:
-    """Number of words, 0 for null; the split counts separators, so nothing is materialised twice."""
-    clean = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(text.isNull() | (clean == ""), F.lit(0)).otherwise(
-        F.size(F.split(clean, r"[\x20\x09-\x0D]+", -1))
-    ).cast("long")
-
-
 def with_ids(df: DataFrame, ids: DataFrame, how: str, n_ids: int | None = None) -> DataFrame:
     """Join with a one-column id table; broadcast it only if its counted size is small."""
     n = ids.count() if n_ids is None else n_ids
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ids.columns, how)
 
 
-def running_totals(rows: DataFrame, bucket: list[str], order: list[str], sums: dict[str, str], within: list[str] | None = None) -> DataFrame:
-    """Exclusive running totals over a total order that starts with the bucket.
+def running_totals(rows: DataFrame, bucket: list[str], order: list, sums: dict[str, str], within: list[str] | None = None, totals: bool = False) -> DataFrame:
+    """Adds exclusive running totals over a total order that starts with the bucket.
 
-    Each bucket is summed by its own window; a small table of bucket totals gives the offsets.
-    The buckets must be ordered as the rows are. within: columns of the bucket at which totals
-    begin anew. sums: output column to summed column.
+    Each bucket is summed by its own window; a small table with a row for each bucket gives the
+    offsets. sums: output column to summed column. within: columns of the bucket at which totals begin
+    anew. totals: also add the whole total of each sum, as total_<name>.
     """
     within = within or []
     own = Window.partitionBy(*bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rest = [c for c in bucket if c not in within]
-    totals = rows.groupBy(*bucket).agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
-    before = Window.partitionBy(*within).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*bucket, *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    each = rows.groupBy(*bucket).agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()])
+    before = Window.partitionBy(*within).orderBy(*[c for c in bucket if c not in within]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select(
+        *[F.col(c).alias(f"__b_{c}") for c in bucket],
+        *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums],
+        *[F.sum(f"__{k}").over(Window.partitionBy(*within)).alias(f"total_{k}") for k in sums if totals],
+    )
     out = rows.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(k) for k, c in sums.items()])
-    same = None
-    right = offsets.select(*[F.col(c).alias(f"__b_{c}") for c in bucket], *[f"__{k}" for k in sums])
-    for c in bucket:
-        eq = F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-        same = eq if same is None else same & eq
-    joined = out.join(right, same)
-    keep = [c for c in out.columns if c not in sums]
-    return joined.select(*keep, *[(F.col(k) + F.col(f"__{k}")).cast("long").alias(k) for k in sums])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in bucket])
+    return out.join(offsets, same).select(
+        *rows.columns, *[(F.col(k) + F.col(f"__{k}")).cast("long").alias(k) for k in sums], *[f"total_{k}" for k in sums if totals]
+    )
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
+from .language import op3_language
+from .mixing import op9_mix
 from .near_dup import op5_near_duplicates
+from .passages import op8_repeated_passages
+from .sharding import op4_shards
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_language": op3_language,
+    "op4_shards": op4_shards,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_repeated_passages": op8_repeated_passages,
+    "op9_mix": op9_mix,
 }
 
 #: SQL equivalents, where SQL can express the operator in reasonable time.
