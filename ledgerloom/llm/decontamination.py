@@ -22,33 +22,34 @@ _MARK = "\u0001"
 _EDGE = r"(?![\p{L}\p{N}])"
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text in order; numbers, names and units are marked with their type before their value.
+def template(text: Column, values: bool) -> Column:
+    """Words of a text, one space after each; numbers, names and units become placeholders of their type.
 
-    A number is a run of digits with separators inside; a unit is one of UNITS after a number; a name
+    With values, a placeholder is followed by its value; the places of words are the same either way. A
+    number is a run of digits with separators inside; a unit is one of UNITS after a number; a name
     starts with a capital and follows a lower-case letter, comma or semicolon and a space.
     """
-    t = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])\p{{N}}+(?:[.,]\p{{N}}+)*{_EDGE}", f" {_MARK}n$0 ")
-    t = F.regexp_replace(t, rf"(?i)({_MARK}n\S+ +)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}){_EDGE}", f"$1{_MARK}u$2 ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'-]*", f"{_MARK}p$0")
-    gap = rf"(?:[^\p{{L}}\p{{N}}{_MARK}.,]|(?<!\p{{N}})[.,]|[.,](?!\p{{N}}))+"
-    return F.filter(F.split(F.lower(t), gap), lambda w: w != "")
-
-
-def _template(words: Column) -> Column:
-    """A hash of every word or, if it is a slot, of its type; slots are even, literals odd."""
-    return F.transform(words, lambda w: F.when(w.startswith(_MARK), F.xxhash64(F.substring(w, 1, 2)).bitwiseAND(F.lit(-2))).otherwise(F.xxhash64(w).bitwiseOR(F.lit(1))))
-
-
-def _windows(h: Column) -> Column:
-    """(pos, window) of every template window with enough literal words."""
-    at = [lambda i, k=k: F.get(h, i + k) for k in range(WORDS)]
-    literal = lambda i: sum((F.coalesce(f(i), F.lit(0)).bitwiseAND(F.lit(1)) for f in at), F.lit(0))
-    return F.filter(
-        F.transform(F.when(F.size(h) >= WORDS, F.sequence(F.lit(0), F.size(h) - WORDS)).otherwise(F.array().cast("array<int>")),
-                    lambda i: F.struct(i.alias("pos"), F.when(literal(i) >= LITERAL, F.xxhash64(*[f(i) for f in at])).alias("window"))),
-        lambda x: x["window"].isNotNull(),
-    )
+    keep = (lambda group: group) if values else (lambda group: "")
+    # each pattern starts with what is rare, and looks back from there
+    t = F.regexp_replace(text, rf"[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,][0-9]+)*{_EDGE}", f" {_MARK}n{keep('$0')} ")
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    t = F.regexp_replace(t, rf"({_MARK}n\S* +)(?i:({units})){_EDGE}", f"$1{_MARK}u{keep('$2')} ")
+    t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(\p{Lu}\p{L}*)", f" {_MARK}p{keep('$1')}")
+    gap = rf"(?:[^\p{{L}}\p{{N}}{_MARK}.,]|[.,](?:(?<![0-9].)|(?![0-9])))+"
+    return F.ltrim(F.regexp_replace(F.concat(F.lower(t), F.lit(" ")), gap, " "))
+
+
+def tokens(text: Column) -> Column:
+    return F.split(F.rtrim(template(text, True)), " ")
+
+
+def windows(texts: DataFrame, name: str) -> DataFrame:
+    """(name, pos, window): a hash of every run of five words of the template.
+
+    One pattern yields all runs: at each word it looks ahead over five and steps on by one.
+    """
+    runs = F.regexp_extract_all(template(F.col("text"), False), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
+    return texts.select(name, F.posexplode(runs).alias("pos", "run")).select(name, "pos", F.xxhash64("run").alias("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
@@ -64,20 +65,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     item. Other columns are ignored. Document windows are hash-joined with the items' (broadcast only
     below a counted size); words are compared again only for pairs that pass.
     """
-    words = lambda df, name: df.select(F.col(name).cast("long").alias(name), tokens(F.col("text").cast("string")).alias("words")).where("words is not null")
-    items = words(benchmark, "item_id")
-    # the hashes are a column of their own, so that each is made once and not for every window
-    iw = items.select("item_id", _template(F.col("words")).alias("h")).select("item_id", F.inline(_windows(F.col("h")))).distinct()
-    iw = checkpoint(iw.select(F.col("item_id"), F.col("pos").alias("item_pos"), "window"))
+    texts = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = texts(benchmark, "item_id").withColumn("own", tokens(F.col("text")))
+    literal = lambda p: F.size(F.filter(F.slice("own", p + 1, WORDS), lambda w: ~w.startswith(_MARK)))
+    # only the items' windows need literal words: a document's window that equals one has as many
+    iw = windows(items, "item_id").join(items.drop("text"), "item_id").where(literal(F.col("pos")) >= LITERAL)
+    iw = checkpoint(iw.select("item_id", F.col("pos").alias("item_pos"), "window").distinct())
     n = iw.count()
     total = iw.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
-    dw = words(docs, "doc_id").select("doc_id", _template(F.col("words")).alias("h")).select("doc_id", F.inline(_windows(F.col("h"))))
+    dw = windows(texts(docs, "doc_id"), "doc_id")
     hits = dw.join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "window").distinct()
     found = hits.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("matched_windows")).join(total, "item_id")
     found = checkpoint(found.where(F.col("matched_windows") * 100 >= F.col("item_windows") * percent))
     ids = found.select("doc_id").distinct()
     some = with_ids(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids, "left_semi")
-    pairs = found.join(words(some, "doc_id").withColumnRenamed("words", "theirs"), "doc_id").join(items.withColumnRenamed("words", "own"), "item_id")
+    theirs = texts(some, "doc_id").select("doc_id", tokens(F.col("text")).alias("theirs"))
+    pairs = found.join(theirs, "doc_id").join(items.drop("text"), "item_id")
     slots = F.filter(
         F.transform("own", lambda w, i: F.struct(w.alias("own"), F.get("theirs", i + F.col("shift")).alias("their"))),
         lambda x: x["own"].startswith(_MARK) & x["their"].startswith(_MARK),
