@@ -61,7 +61,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     the document and the reverse.
 
     Texts that are null or have fewer than five words match nothing, and so do items without a window
-    of three literal words. Rows that repeat a doc_id count as one document, those of an item_id as one
+    of three literal words; nor do rows without a doc_id or item_id. Rows that repeat a doc_id count as one document, those of an item_id as one
     item. Other columns are ignored. Document windows are hash-joined with the items' (broadcast only
     below a counted size); words are compared again only for pairs that pass.
     """

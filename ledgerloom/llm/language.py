@@ -59,7 +59,7 @@ class Model:
         self.langs = sorted(counts["lang"].unique())
         code = counts["code"].to_numpy(np.int64)
         n = counts["n"].to_numpy(np.int64)
-        seen = np.bincount(code & 255, weights=n, minlength=256)
+        seen = np.bincount(code & 255, weights=n, minlength=256).astype(float)
         seen[_BLANK] = np.inf
         order = [b for b in np.lexsort((np.arange(256), -seen)) if seen[b] > 0]
         self.base = min(SYMBOLS, len(order) + 1)
