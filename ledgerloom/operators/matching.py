@@ -35,44 +35,65 @@ def date_score(doc: Column, tx: Column, tolerance: int = TOLERANCE_DAYS) -> Colu
     return F.when(n.isNull(), 0).when(n == 0, 1000).when(n <= tolerance, near).when(n <= 2 * tolerance, 200).when(n <= 30, 100).otherwise(0)
 
 
+def _description(a: Column, wa: Column, b: Column, wb: Column) -> Column:
+    both, either = F.size(F.array_intersect(wa, wb)), F.size(F.array_union(wa, wb))
+    share = F.round(both * 1000.0 / F.greatest(either, F.lit(1))).cast("int")
+    return F.when((a == "") | (b == ""), 0).when(a == b, 1000).when(a.contains(b) | b.contains(a), 800).when(both * 10 > either * 3, share).otherwise(0)
+
+
 def description_score(doc: Column, tx: Column) -> Column:
     """1000 if equal, 800 if one contains the other, else the Jaccard similarity of words above 300."""
     a, b = norm(doc), norm(tx)
-    both, either = F.size(F.array_intersect(words(a), words(b))), F.size(F.array_union(words(a), words(b)))
-    share = F.round(both * 1000.0 / F.greatest(either, F.lit(1))).cast("int")
-    return F.when((a == "") | (b == ""), 0).when(a == b, 1000).when(a.contains(b) | b.contains(a), 800).when(both * 10 > either * 3, share).otherwise(0)
+    return _description(a, words(a), b, words(b))
+
+
+def _vendor(a: Column, b: Column) -> Column:
+    first = lambda c: F.regexp_extract(c, r"^\S*", 0)
+    return F.when((a == "") | (b == ""), 0).when(a == b, 1000).when(a.contains(b) | b.contains(a), 850).when(first(a) == first(b), 600).otherwise(0)
 
 
 def vendor_score(doc: Column, tx: Column) -> Column:
     """1000 if equal, 850 if one contains the other, 600 if the first words are the same."""
-    a, b = norm(doc), norm(tx)
-    first = lambda c: F.get(F.split(c, r"\s+"), F.lit(0))
-    return F.when((a == "") | (b == ""), 0).when(a == b, 1000).when(a.contains(b) | b.contains(a), 850).when(first(a) == first(b), 600).otherwise(0)
+    return _vendor(norm(doc), norm(tx))
 
 
-def is_exact(amount, tx_amount, date, tx_date, vendor, source, tx_source, tx_destination) -> Column:
-    """Same amount and day, and an account that is equal to or contained in one of the transaction's."""
-    v, s, ts, td = norm(vendor), norm(source), norm(tx_source), norm(tx_destination)
+def _exact(amount, tx_amount, date, tx_date, v, s, ts, td) -> Column:
     touches = lambda t: (t != "") & (v.contains(t) | t.contains(v))
     account = ((v != "") & (touches(ts) | touches(td))) | ((s != "") & (s == ts))
     return F.coalesce((amount == tx_amount) & (F.datediff(date, tx_date) == 0) & account, F.lit(False))
 
 
+def is_exact(amount, tx_amount, date, tx_date, vendor, source, tx_source, tx_destination) -> Column:
+    """Same amount and day, and an account that is equal to or contained in one of the transaction's."""
+    return _exact(amount, tx_amount, date, tx_date, norm(vendor), norm(source), norm(tx_source), norm(tx_destination))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """Documents with their texts normalised, once for all their pairs."""
+    d = docs.select("*", norm(F.col("description")).alias("n_description"), norm(F.col("vendor")).alias("n_vendor"), norm(F.col("source_account")).alias("n_source"))
+    return d.select("*", words(F.col("n_description")).alias("n_words"))
+
+
+def prepared_ledger(ledger: DataFrame) -> DataFrame:
+    """Transactions with the prefix tx_ and their texts normalised."""
+    tx = ledger.select([F.col(k).alias(f"tx_{k}") for k in ledger.columns])
+    n = tx.select("*", norm(F.col("tx_description")).alias("t_description"), norm(F.col("tx_source_account")).alias("t_source"), norm(F.col("tx_destination_account")).alias("t_destination"))
+    return n.select("*", words(F.col("t_description")).alias("t_words"), F.when(F.col("t_destination") != "", F.col("t_destination")).otherwise(F.col("t_source")).alias("t_vendor"))
+
+
 def scored(pairs: DataFrame, tolerance: int = TOLERANCE_DAYS, override: bool = True) -> DataFrame:
-    """Adds the four signal scores, is_exact, total (millionths) and reasons to pairs of a document and a transaction.
+    """Adds the four signal scores, is_exact, total (millionths) and reasons to pairs of prepared rows.
 
-    Documents have amount, date, description, vendor, source_account; transactions the same names after
-    tx_ and tx_destination_account. Without override a pair is scored by its signals alone.
+    Without override a pair is scored by its signals alone.
     """
     c = F.col
-    tx_vendor = F.coalesce(F.nullif(c("tx_destination_account"), F.lit("")), c("tx_source_account"))
     out = pairs.select(
         "*",
         amount_score(c("amount"), c("tx_amount")).alias("amount_score"),
         date_score(c("date"), c("tx_date"), tolerance).alias("date_score"),
-        description_score(c("description"), c("tx_description")).alias("description_score"),
-        vendor_score(c("vendor"), tx_vendor).alias("vendor_score"),
-        is_exact(c("amount"), c("tx_amount"), c("date"), c("tx_date"), c("vendor"), c("source_account"), c("tx_source_account"), c("tx_destination_account")).alias("is_exact"),
+        _description(c("n_description"), c("n_words"), c("t_description"), c("t_words")).alias("description_score"),
+        _vendor(c("n_vendor"), c("t_vendor")).alias("vendor_score"),
+        _exact(c("amount"), c("tx_amount"), c("date"), c("tx_date"), c("n_vendor"), c("n_source"), c("t_source"), c("t_destination")).alias("is_exact"),
     )
     weighted = sum((c(f"{k}_score") * w for k, w in WEIGHTS.items()), F.lit(0))
     total = F.when(c("is_exact"), F.greatest(weighted, F.lit(EXACT))).otherwise(weighted) if override else weighted
@@ -86,7 +107,7 @@ def _keys(df: DataFrame, prefix: str, spread: bool) -> DataFrame:
     width = math.log1p(BLOCK_PERCENT / 100) - math.log1p(-BLOCK_PERCENT / 100)
     size = F.when(amount == 0, 0).otherwise(F.signum(amount) * (100_000 + F.floor(F.ln(F.abs(amount).cast("double")) / width))).cast("long")
     near = (lambda x: F.array(x - 1, x, x + 1)) if spread else (lambda x: F.array(x))
-    vendor = norm(F.col("vendor") if not prefix else F.coalesce(F.nullif(F.col("tx_destination_account"), F.lit("")), F.col("tx_source_account")))
+    vendor = F.col("t_vendor" if prefix else "n_vendor")
     cells = df.select("*", F.explode(near(day)).alias("day"))
     by_amount = cells.select("*", F.explode(F.transform(near(size), lambda x: x.cast("string"))).alias("cell"), F.lit("amount").alias("by"))
     return by_amount.unionByName(cells.select("*", vendor.alias("cell"), F.lit("vendor").alias("by")).where("cell <> ''"))
@@ -99,7 +120,7 @@ def candidates(docs: DataFrame, ledger: DataFrame, exact: bool = False) -> DataF
     BLOCK_DAYS whose amounts are within BLOCK_PERCENT of the transaction's or whose vendors are equal,
     by equi-joins on cells. A pair outside these scores 0.5 at most without an equal vendor.
     """
-    tx = ledger.select([F.col(k).alias(f"tx_{k}") for k in ledger.columns])
+    docs, tx = prepared(docs), prepared_ledger(ledger)
     if exact:
         return docs.join(F.broadcast(tx))
     right = _keys(tx, "tx_", True)

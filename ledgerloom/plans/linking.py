@@ -11,15 +11,14 @@ from ..sources.views import duckdb_views, spark_views
 def match_signals(spark, sf_dir):
     """Signals of every document with the transaction of the same number."""
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    tx = ledger.select([F.col(c).alias(f"tx_{c}") for c in ledger.columns])
-    out = M.scored(docs.join(tx, F.col("document_id") == F.col("tx_ledger_id")))
+    out = M.scored(M.prepared(docs).join(M.prepared_ledger(ledger), F.col("document_id") == F.col("tx_ledger_id")))
     return out.select("document_id", "amount_score", "date_score", "description_score", "vendor_score", "is_exact", "total", F.array_join("reasons", ",").alias("reasons"))
 
 
 def score_candidate(spark, sf_dir):
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    tx = ledger.select([F.col(c).alias(f"tx_{c}") for c in ledger.columns])
-    return M.scored(docs.join(tx, F.col("document_id") == F.col("tx_ledger_id")), override=False).select("document_id", "total")
+    pairs = M.prepared(docs).join(M.prepared_ledger(ledger), F.col("document_id") == F.col("tx_ledger_id"))
+    return M.scored(pairs, override=False).select("document_id", "total")
 
 
 def _top(spark, sf_dir):
