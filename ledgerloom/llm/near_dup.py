@@ -14,8 +14,8 @@ from .common import U, by_batch, checkpoint, components, lists, mix, shingles, t
 
 #: Bits of an odd sketch.
 BITS = 512
-#: Documents compared with as many others in one task.
-BLOCK = 256
+#: Documents, or sketches of a bucket, compared with as many others in one task.
+BLOCK, SKETCHES = 256, 1024
 _NO_ID = -(2**63)
 
 
@@ -87,6 +87,47 @@ def _full_sets(k: int):
     return by_batch(run)
 
 
+def _forest(u: np.ndarray, v: np.ndarray, near) -> pd.DataFrame:
+    """Links (u[i], v[j]) that span all that near(i), a mask over v, connects."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    own, other = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    found: list[tuple[int, int]] = []
+    for i in range(len(u) if len(v) else 0):
+        js = np.flatnonzero(near(i))
+        while len(js := js[label[other[js]] != label[own[i]]]):
+            found.append((int(u[i]), int(v[js[0]])))
+            label[label == label[other[js[0]]]] = label[own[i]]
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
+def _sketch_links(percent: int, most: int):
+    """Spanning links of a block of a bucket, or between two blocks, whose sizes and sketches allow the threshold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = [p if len(p) else pdf for p in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])]
+        a, b = [np.stack([np.asarray(x, np.int64) for x in p["sketch"]]).view(U) for p in (one, two)]
+        na, nb = one["n"].to_numpy(), two["n"].to_numpy()
+
+        def near(i: int) -> np.ndarray:
+            far = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
+            return (far <= most) & (np.minimum(na[i], nb) * 100 >= np.maximum(na[i], nb) * percent)
+
+        return _forest(one["sid"].to_numpy(), two["sid"].to_numpy(), near)
+
+    return run
+
+
+def _blocks(members: DataFrame, size: int, group: str, *columns: str) -> DataFrame:
+    """Members of groups (their count c) dealt into blocks: a row for every pair of blocks that the member is in."""
+    k = F.ceil(F.col("c") / size)
+    return (
+        members.withColumn("k", k).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("k")))
+        .select("sid", group, *columns, "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+        .select("sid", group, *columns, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"))
+    )
+
+
 def _links(percent: int):
     """Spanning links of a block, or between two blocks, confirmed on full sets."""
 
@@ -113,27 +154,12 @@ def _links(percent: int):
             two = one
         a, b = [[np.asarray(x, np.int64) for x in p["items"]] for p in (one, two)]
         u, v = one["sid"].to_numpy(), two["sid"].to_numpy()
-        found: list[tuple[int, int]] = []
-        if len(a) and len(b):
-            inter = overlaps(a, b)
-            na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            linked = 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
-            if same:
-                linked &= np.tri(len(a), k=-1, dtype=bool).T
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                p, q = root(u[i]), root(v[j])
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    found.append((int(u[i]), int(v[j])))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        if not len(a) or not len(b):
+            return _forest(u[:0], v[:0], None)
+        inter = overlaps(a, b)
+        na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        linked = 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
+        return _forest(u, v, linked.__getitem__)
 
     return run
 
@@ -149,7 +175,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component's id unless all are null. Equal sets, and so repeated rows, form one node first. Other
     columns are ignored. Steps: MinHash samples give band keys and, folded by parity, an odd sketch;
     in each band the least set stands for its bucket, and XOR counts of sketches discard what cannot
-    reach the threshold; what stays connected is compared on full sets, in blocks, by exact
+    reach the threshold; buckets with a set that their least one does not fit compare the sketches of
+    all their sets, in blocks; what stays connected is compared on full sets, in blocks, by exact
     intersection sizes, and only spanning links leave a task.
     """
     rows, bands = bands_for(percent)
@@ -159,16 +186,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     keys = nodes.select("sid", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("sid").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = keys.join(buckets, "key").where("sid <> rep").select("sid", "rep").distinct()
+    buckets = keys.groupBy("key").agg(F.min("sid").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    shared = checkpoint(keys.join(buckets, "key").select("key", "sid", "rep", "c"))
+    pairs = shared.where("sid <> rep").select("sid", "rep").distinct()
     a, b = [nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("sid", "rep")]
     xor = F.aggregate(F.zip_with("s_sid", "s_rep", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (
-        pairs.join(a, "sid").join(b, "rep")
-        .where((F.least("n_sid", "n_rep") * 100 >= F.greatest("n_sid", "n_rep") * percent) & (xor <= most_odd_bits(percent, rows * bands)))
-        .select(F.col("sid").alias("u"), F.col("rep").alias("v"))
-    )
-    near = checkpoint(near)
+    most = most_odd_bits(percent, rows * bands)
+    fits = (F.least("n_sid", "n_rep") * 100 >= F.greatest("n_sid", "n_rep") * percent) & (xor <= most)
+    tested = checkpoint(pairs.join(a, "sid").join(b, "rep").select("sid", "rep", fits.alias("fits")))
+    # what its representative does not fit may still fit another member of the bucket
+    crowded = shared.where("c > 2").join(tested.where("not fits"), ["sid", "rep"], "left_semi").select("key").distinct()
+    rest = shared.join(crowded, "key", "left_semi").drop("rep").join(nodes.select("sid", "n", "sketch"), "sid")
+    more = _blocks(rest, SKETCHES, "key", "n", "sketch").groupBy("key", "i", "j").applyInPandas(_sketch_links(percent, most), "u long, v long")
+    near = checkpoint(tested.where("fits").select(F.col("sid").alias("u"), F.col("rep").alias("v")).union(more).distinct())
     coarse = checkpoint(components(near))
     sizes = coarse.groupBy("label").agg(F.count("*").alias("c"))
     wanted = checkpoint(coarse.withColumnRenamed("id", "sid").join(nodes.select("sid", "doc"), "sid").join(sizes, "label")
@@ -177,12 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     some = with_ids(docs.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID))), ids, "left_semi")
     sets = some.select("doc_id", "text").mapInArrow(_full_sets(words), "doc_id long, sid long, items array<long>").dropDuplicates(["sid"]).drop("doc_id")
     full = wanted.drop("doc").join(sets, "sid")
-    block = F.pmod(F.xxhash64("sid"), F.col("k"))
-    full = (
-        full.withColumn("k", F.ceil(F.col("c") / BLOCK)).withColumn("blk", block)
-        .select("sid", "label", "items", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-        .select("sid", "label", "items", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"))
-    )
+    full = _blocks(full, BLOCK, "label", "items")
     links = full.groupBy("label", "i", "j").applyInPandas(_links(percent), "u long, v long")
     labels = components(links)
     named = labels.join(nodes.select(F.col("sid").alias("id"), "doc"), "id")

@@ -101,6 +101,18 @@ def test_near_duplicates_of_large_group(spark):
     assert len(got) == classes
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """Thousands of documents share a passage, so buckets hold sets that their least one does not fit."""
+    passage = prose(75, 1)
+    rows = [(i, f"{passage} {prose(50, 1000 + i)}") for i in range(3000)]
+    for i in range(60):
+        w = rows[i * 7][1].split()
+        w[80], w[95], w[110] = "first", "second", "third"  # 9 of 123 shingles: 114 of 132 stay common
+        rows.append((10_000 + i, " ".join(w)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).where("not kept").collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(10_000 + i, i * 7) for i in range(60)}
+
+
 def test_deduplicate_keeps_one_of_each(docs, none):
     out = near_dup.deduplicate(docs)
     assert out.columns == docs.columns
