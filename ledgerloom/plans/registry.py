@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import identity, ledgering, linking, queues, texts
+from . import identity, ledgering, lifecycle, linking, queues, texts
 
-MODULES = (linking, identity, queues, texts, ledgering)
+MODULES = (linking, identity, queues, texts, ledgering, lifecycle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
