@@ -13,6 +13,8 @@ from .common import by_batch, chunks, table, text_bytes
 
 #: Labelled documents of each language that a model learns from: those least by a hash of doc_id.
 SAMPLE = 500
+#: Groups of input partitions that each rank their own documents before all are ranked.
+PARTS = 32
 #: Bytes of context, and symbols: classes of bytes beyond which rare bytes share one symbol.
 ORDER, SYMBOLS = 3, 48
 #: Largest table of code lengths that a task may hold, in bytes.
@@ -104,8 +106,12 @@ def learn(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     """
     some = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     fit = some.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("k")
+    # within groups of input partitions first, so that the rank of a language sees PARTS * per_language rows at most
+    ids = fit.select("doc_id", "lang", F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("k")
+    ids = ids.drop("part")
     rows = fit.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", F.lower("text").alias("text"))
     counts = rows.mapInArrow(by_batch(_count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     return Model(counts.toPandas())  # bounded by the sample
