@@ -113,16 +113,18 @@ def _keys(df: DataFrame, prefix: str, spread: bool) -> DataFrame:
     return by_amount.unionByName(cells.select("*", vendor.alias("cell"), F.lit("vendor").alias("by")).where("cell <> ''"))
 
 
-def candidates(docs: DataFrame, ledger: DataFrame, exact: bool = False) -> DataFrame:
-    """Pairs of documents and transactions to score; ledger columns get the prefix tx_.
+def candidates(docs: DataFrame, ledger: DataFrame, exact: bool = False, blocked: bool = False) -> DataFrame:
+    """Pairs of documents and transactions to score, every one; ledger columns get the prefix tx_.
 
-    exact: every pair, as a nested loop over a broadcast ledger - for small ledgers. Else those within
+    exact: as a nested loop over a broadcast ledger - for small ledgers. blocked: only those within
     BLOCK_DAYS whose amounts are within BLOCK_PERCENT of the transaction's or whose vendors are equal,
-    by equi-joins on cells. A pair outside these scores 0.5 at most without an equal vendor.
+    by equi-joins on cells. That loses most pairs at or above the floor, and all without a date.
     """
     docs, tx = prepared(docs), prepared_ledger(ledger)
     if exact:
         return docs.join(F.broadcast(tx))
+    if not blocked:
+        return docs.crossJoin(tx)
     right = _keys(tx, "tx_", True)
     found = _keys(docs, "", False).join(right, ["by", "cell", "day"])
     near = F.abs(F.datediff("date", "tx_date")) <= BLOCK_DAYS
@@ -132,14 +134,14 @@ def candidates(docs: DataFrame, ledger: DataFrame, exact: bool = False) -> DataF
     return found.where(near & first).drop("by", "cell", "day")
 
 
-def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS, exact: bool = False) -> DataFrame:
+def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS, exact: bool = False, blocked: bool = False) -> DataFrame:
     """The best `top` transactions of every document, at or above the floor; ties by later date, then ledger_id."""
     order = Window.partitionBy("document_id").orderBy(F.desc("total"), F.col("tx_date").desc_nulls_last(), "tx_ledger_id")
-    pairs = scored(candidates(docs, ledger, exact), tolerance).where(F.col("total") >= floor)
+    pairs = scored(candidates(docs, ledger, exact, blocked), tolerance).where(F.col("total") >= floor)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
+def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP, blocked: bool = False) -> DataFrame:
     """The best documents of every transaction, by the reverse view's own formula of amount and date.
 
     Amounts count 600 if equal and 570, 480, 360, 240 below 1, 5, 10, 20 percent; dates 400, 360, 280, 200,
@@ -150,7 +152,7 @@ def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP) -> DataF
     a = F.when(gap == 0, 600).when(gap < base, 570).when(gap < base * 5, 480).when(gap < base * 10, 360).when(gap < base * 20, 240).otherwise(0)
     n = F.abs(F.datediff("date", "tx_date"))
     d = F.when(n == 0, 400).when(n <= 3, 360).when(n <= 7, 280).when(n <= 14, 200).when(n <= 30, 120).otherwise(0)
-    pairs = candidates(docs, ledger).select("document_id", "tx_ledger_id", (F.coalesce(a, F.lit(0)) + F.coalesce(d, F.lit(0))).alias("score")).where("score >= 200")
+    pairs = candidates(docs, ledger, blocked=blocked).select("document_id", "tx_ledger_id", (F.coalesce(a, F.lit(0)) + F.coalesce(d, F.lit(0))).alias("score")).where("score >= 200")
     order = Window.partitionBy("tx_ledger_id").orderBy(F.desc("score"), "document_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

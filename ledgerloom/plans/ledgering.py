@@ -69,12 +69,12 @@ def auto_apply(spark, sf_dir):
 
 
 def reconcile_run(spark, sf_dir):
-    """The audit rows of a run over documents of one kind."""
+    """The audit rows of a run over documents of one kind, matched within the block as in its SQL."""
     p, t = spark_views(spark, sf_dir, "proposal", "ledger")
     ledger = t.withColumn("document_id", F.when(F.col("match_status") == "MATCHED", F.col("ledger_id")))
     none = ledger.where("false").select("document_id", "ledger_id", F.lit(0).alias("total"))
     known = ledger.where("ledger_id % 8 = 1").select(F.col("ledger_id").alias("document_id"), "ledger_id")
-    return R.run(p.where("source_account = 'building'"), ledger, known, none, threshold=700_000).audit
+    return R.run(p.where("source_account = 'building'"), ledger, known, none, threshold=700_000, blocked=True).audit
 
 
 def trace_summary(spark, sf_dir):

@@ -22,8 +22,9 @@ def score_candidate(spark, sf_dir):
 
 
 def _top(spark, sf_dir):
+    """Within the block, as the SQL of these queries has it."""
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    return M.top_matches(docs, ledger.where("match_status = 'UNMATCHED' and deleted_at is null"))
+    return M.top_matches(docs, ledger.where("match_status = 'UNMATCHED' and deleted_at is null"), blocked=True)
 
 
 def match_topk(spark, sf_dir):
@@ -32,13 +33,13 @@ def match_topk(spark, sf_dir):
 
 def match_exact(spark, sf_dir):
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    pairs = M.scored(M.candidates(docs, ledger.where("deleted_at is null"))).where("is_exact")
+    pairs = M.scored(M.candidates(docs, ledger.where("deleted_at is null"), blocked=True)).where("is_exact")
     return pairs.select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total")
 
 
 def match_reverse(spark, sf_dir):
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    return M.reverse_matches(ledger.where("match_status = 'UNMATCHED' and deleted_at is null"), docs).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "score", "rank")
+    return M.reverse_matches(ledger.where("match_status = 'UNMATCHED' and deleted_at is null"), docs, blocked=True).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "score", "rank")
 
 
 def auto_link_unambiguous(spark, sf_dir):

@@ -72,6 +72,23 @@ def test_blocked_matches_equal_exact_ones_in_reach(spark):
     assert near(matching.scored(matching.candidates(docs, ledger))) == near(matching.scored(matching.candidates(docs, ledger, exact=True)))
 
 
+def test_block_equals_all_pairs_in_reach(spark):
+    docs, ledger = spark_views(spark, SF, "proposal", "ledger")
+    docs, ledger = docs.where("document_id % 7 = 0").cache(), ledger.where("ledger_id % 5 < 2").cache()
+    near = lambda df: {(r.document_id, r.tx_ledger_id, r.total) for r in df.where("abs(datediff(date, tx_date)) <= 30 and (abs(amount - tx_amount) * 100 <= abs(tx_amount) * 5 or n_vendor = t_vendor)").collect()}
+    assert near(matching.scored(matching.candidates(docs, ledger, blocked=True))) == near(matching.scored(matching.candidates(docs, ledger)))
+
+
+def test_matches_outside_the_block(spark):
+    d, amount = date(2024, 1, 1), Decimal("100.00")
+    docs = spark.createDataFrame([(1, amount, d, "rent may", "x", None), (2, amount, None, "rent may", "x", None)], "document_id long, amount decimal(18,2), date date, description string, vendor string, source_account string")
+    ledger = _ledger(spark, [(1, amount, date(2024, 2, 1), "rent may", "bank", "x"), (2, Decimal("109.00"), d, "the rent may", "bank", "x inc"), (3, amount, None, "rent may", "bank", "x")])
+    got = {(r.document_id, r.tx_ledger_id): r.total for r in matching.top_matches(docs, ledger).collect()}
+    assert got == {(1, 1): 750_000, (1, 2): 697_500, (1, 3): 750_000, (2, 1): 750_000, (2, 2): 447_500, (2, 3): 750_000}
+    back = {(r.tx_ledger_id, r.document_id): r.score for r in matching.reverse_matches(ledger, docs).collect()}
+    assert back == {(1, 1): 600, (1, 2): 600, (2, 1): 760, (2, 2): 360, (3, 1): 600, (3, 2): 600}
+
+
 def test_exact_match_override_and_ambiguity(spark):
     docs = spark.createDataFrame([(1, Decimal("10.00"), date(2024, 1, 1), None, "Shop", None), (2, Decimal("10.00"), date(2024, 1, 1), None, "Shop", None)], "document_id long, amount decimal(18,2), date date, description string, vendor string, source_account string")
     ledger = _ledger(spark, [(7, Decimal("10.00"), date(2024, 1, 1), "x", "bank", "the shop"), (8, Decimal("99.00"), date(2020, 1, 1), "x", "bank", "other")])
