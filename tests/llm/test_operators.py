@@ -143,6 +143,17 @@ def test_passages_found_and_clean_left(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_at_the_threshold(spark):
+    rows = []
+    for i in range(300):
+        w = prose(50, 5000 + i).split()
+        rows.append((2 * i, f"{prose(60, 6000 + i)} {' '.join(w)} {prose(60, 7000 + i)}"))
+        w[25] = "changed"  # 41 of 51 shingles stay common
+        rows.append((2 * i + 1, f"{prose(60 + i % 40, 8000 + i)} {' '.join(w)} {prose(60, 9000 + i)}"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in got}) >= 2 * 298  # a pair shares no min-hash once in 600
+
+
 def test_compact_windows_are_the_cartesian_tree():
     r = np.random.default_rng(1)
     n, t, bits = 300, 9, np.uint64(10)
