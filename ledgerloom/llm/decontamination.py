@@ -31,9 +31,11 @@ def template(text: Column, values: bool) -> Column:
     """
     keep = (lambda group: group) if values else (lambda group: "")
     # each pattern starts with what is rare, and looks back from there
-    t = F.regexp_replace(text, rf"[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,][0-9]+)*{_EDGE}", f" {_MARK}n{keep('$0')} ")
+    t = F.regexp_replace(F.translate(text, "\u0130", "I"), rf"[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,][0-9]+)*{_EDGE}", f" {_MARK}n{keep('$0')} ")
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     t = F.regexp_replace(t, rf"({_MARK}n\S* +)(?i:({units})){_EDGE}", f"$1{_MARK}u{keep('$2')} ")
+    if values:  # a slash would end the word
+        t = F.regexp_replace(t, rf"({_MARK}u\p{{L}}+)/", "$1")
     t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(\p{Lu}\p{L}*)", f" {_MARK}p{keep('$1')}")
     gap = rf"(?:[^\p{{L}}\p{{N}}{_MARK}.,]|[.,](?:(?<![0-9].)|(?![0-9])))+"
     return F.ltrim(F.regexp_replace(F.concat(F.lower(t), F.lit(" ")), gap, " "))
@@ -57,7 +59,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
 
     Returns doc_id, item_id, matched_windows, item_windows, n_slots and same_values (all slot values are the
     item's own). A pair counts if at least percent of the item's template windows lie on one diagonal of
-    the document, and if there the slots are consistent: each value of the item stands for one value of
+    the document, and if the slots in these windows are consistent: each value of the item stands for one value of
     the document and the reverse.
 
     Texts that are null or have fewer than five words match nothing, and so do items without a window
@@ -74,17 +76,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     n = iw.count()
     total = iw.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
     dw = windows(texts(docs, "doc_id"), "doc_id")
-    hits = dw.join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "window").distinct()
-    found = hits.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("matched_windows")).join(total, "item_id")
+    hits = dw.join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
+    found = hits.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("window").alias("matched_windows"), F.collect_set("item_pos").alias("places")).join(total, "item_id")
     found = checkpoint(found.where(F.col("matched_windows") * 100 >= F.col("item_windows") * percent))
     ids = found.select("doc_id").distinct()
     some = with_ids(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids, "left_semi")
     theirs = texts(some, "doc_id").select("doc_id", tokens(F.col("text")).alias("theirs"))
     pairs = found.join(theirs, "doc_id").join(items.drop("text"), "item_id")
-    slots = F.filter(
-        F.transform("own", lambda w, i: F.struct(w.alias("own"), F.get("theirs", i + F.col("shift")).alias("their"))),
-        lambda x: x["own"].startswith(_MARK) & x["their"].startswith(_MARK),
-    )
+    # chance placeholders outside the windows that match don't count
+    each = lambda p: F.transform(F.sequence(p, p + WORDS - 1), lambda i: F.struct(F.get("own", i).alias("own"), F.get("theirs", i + F.col("shift")).alias("their")))
+    slots = F.filter(F.flatten(F.transform("places", each)), lambda x: x["own"].startswith(_MARK) & x["their"].startswith(_MARK))
     pairs = pairs.select("doc_id", "item_id", "matched_windows", "item_windows", F.array_distinct(slots).alias("slots"))
     pairs = pairs.where(
         (F.size("slots") == F.size(F.array_distinct(F.col("slots.own")))) & (F.size("slots") == F.size(F.array_distinct(F.col("slots.their"))))

@@ -264,6 +264,22 @@ def test_decontamination_finds_reparameterised_items(spark, none):
     assert decontamination.decontaminate(df, bench.where("item_id < 0")).count() == len(rows)
 
 
+def test_templates_have_equal_places(spark):
+    texts = ["at 60 km/h for 5 km and 7 KM/H", "in \u0130stanbul, \u0130zmir and Bonn 3.50 euros", "Mary Ann had 1,000.5 kg/m. The 3 m/s", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    count = lambda values: F.size(F.split(F.rtrim(decontamination.template(F.col("text"), values)), " "))
+    assert all(a == b for a, b in df.select(count(True), count(False)).collect())
+
+
+def test_decontamination_after_a_unit_with_a_slash(spark):
+    item = "a runner starts at the old mill and runs 5 km before lunch then rests and runs 7 km after lunch until the sun has set behind the hills"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    tail = " ".join(item.split()[:-3])
+    docs = spark.createDataFrame([(1, f"at 60 km/h we drove on. {item}"), (2, f"{tail} near 9 trees")], "doc_id long, text string")
+    bench = bench.union(spark.createDataFrame([(2, f"{tail} past 5 gates")], "item_id long, text string"))  # 5 stands for 9 in the part that is not held
+    assert {(1, 1), (2, 2)} <= {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     ("http://WWW.Example.com/en/71?x", "www.example.com", "/en/71", "example.com/en/7", "allow"),
     ("http://a.com/en/", "a.com", "/en/", "com/en/", "block"),
