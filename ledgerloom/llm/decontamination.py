@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_IDS, checkpoint, table, with_ids
 
 #: Words of a template window, and how many of them must be literal.
 WORDS, LITERAL = 5, 3
+#: Words inserted or deleted by which an item may spread over diagonals.
+SHIFT = 32
 #: Units that count as such after a number.
 UNITS = (
     "mm cm dm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet "
@@ -22,12 +25,13 @@ _MARK = "\u0001"
 _EDGE = r"(?![\p{L}\p{N}])"
 
 
-def template(text: Column, values: bool) -> Column:
+def template(text: Column, values: bool, starts: bool = False) -> Column:
     """Words of a text, one space after each; numbers, names and units become placeholders of their type.
 
     With values, a placeholder is followed by its value; the places of words are the same either way. A
     number is a run of digits with separators inside; a unit is one of UNITS after a number; a name
-    starts with a capital and follows a lower-case letter, comma or semicolon and a space.
+    starts with a capital and follows a lower-case letter, comma or semicolon and a space; with starts, also
+    any white space there, or the start of the text, of a line or of a sentence.
     """
     keep = (lambda group: group) if values else (lambda group: "")
     # each pattern starts with what is rare, and looks back from there
@@ -36,22 +40,24 @@ def template(text: Column, values: bool) -> Column:
     t = F.regexp_replace(t, rf"({_MARK}n\S* +)(?i:({units})){_EDGE}", f"$1{_MARK}u{keep('$2')} ")
     if values:  # a slash would end the word
         t = F.regexp_replace(t, rf"({_MARK}u\p{{L}}+)/", "$1")
-    t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(\p{Lu}\p{L}*)", f" {_MARK}p{keep('$1')}")
+    before = r"(?:^|\n|\s(?<=[\p{Ll},;.!?:]\s))" if starts else r" (?<=[\p{Ll},;] )"
+    t = F.regexp_replace(t, rf"{before}(\p{{Lu}}\p{{L}}*)", f" {_MARK}p{keep('$1')}")
     gap = rf"(?:[^\p{{L}}\p{{N}}{_MARK}.,]|[.,](?:(?<![0-9].)|(?![0-9])))+"
     return F.ltrim(F.regexp_replace(F.concat(F.lower(t), F.lit(" ")), gap, " "))
 
 
-def tokens(text: Column) -> Column:
-    return F.split(F.rtrim(template(text, True)), " ")
+def tokens(text: Column, starts: bool) -> Column:
+    return F.split(F.rtrim(template(text, True, starts)), " ")
 
 
 def windows(texts: DataFrame, name: str) -> DataFrame:
-    """(name, pos, window): a hash of every run of five words of the template.
+    """(name, starts, pos, window): a hash of every run of five words of either template.
 
     One pattern yields all runs: at each word it looks ahead over five and steps on by one.
     """
-    runs = F.regexp_extract_all(template(F.col("text"), False), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
-    return texts.select(name, F.posexplode(runs).alias("pos", "run")).select(name, "pos", F.xxhash64("run").alias("window"))
+    runs = lambda starts: F.regexp_extract_all(template(F.col("text"), False, starts), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
+    both = texts.select(name, F.explode(F.array(*[F.struct(F.lit(s).alias("starts"), runs(s).alias("runs")) for s in (False, True)])).alias("t"))
+    return both.select(name, "t.starts", F.posexplode("t.runs").alias("pos", "run")).select(name, "starts", "pos", F.xxhash64("run", "starts").alias("window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
@@ -59,8 +65,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
 
     Returns doc_id, item_id, matched_windows, item_windows, n_slots and same_values (all slot values are the
     item's own). A pair counts if at least percent of the item's template windows lie on one diagonal of
-    the document, and if the slots in these windows are consistent: each value of the item stands for one value of
-    the document and the reverse.
+    the document or within SHIFT neighbouring ones, so that words may be inserted or deleted, and if the
+    slots in these windows, each on its own diagonal, are consistent: each value of the item stands for one
+    value of the document and the reverse. Of several places of a window, that on the diagonal with the most
+    windows is taken. Both templates, with and without names at starts, are tried.
 
     Texts that are null or have fewer than five words match nothing, and so do items without a window
     of three literal words; nor do rows without a doc_id or item_id. Rows that repeat a doc_id count as one document, those of an item_id as one
@@ -68,23 +76,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     below a counted size); words are compared again only for pairs that pass.
     """
     texts = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = texts(benchmark, "item_id").withColumn("own", tokens(F.col("text")))
+    items = texts(benchmark, "item_id")
+    own = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(s).alias("starts"), tokens(F.col("text"), s).alias("own")) for s in (False, True)])).alias("t")).select("item_id", "t.*")
     literal = lambda p: F.size(F.filter(F.slice("own", p + 1, WORDS), lambda w: ~w.startswith(_MARK)))
     # only the items' windows need literal words: a document's window that equals one has as many
-    iw = windows(items, "item_id").join(items.drop("text"), "item_id").where(literal(F.col("pos")) >= LITERAL)
-    iw = checkpoint(iw.select("item_id", F.col("pos").alias("item_pos"), "window").distinct())
+    iw = windows(items, "item_id").join(own, ["item_id", "starts"]).where(literal(F.col("pos")) >= LITERAL)
+    iw = checkpoint(iw.select("item_id", "starts", F.col("pos").alias("item_pos"), "window").distinct())
     n = iw.count()
-    total = iw.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
-    dw = windows(texts(docs, "doc_id"), "doc_id")
-    hits = dw.join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
-    found = hits.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("window").alias("matched_windows"), F.collect_set("item_pos").alias("places")).join(total, "item_id")
+    total = iw.groupBy("item_id", "starts").agg(F.countDistinct("window").alias("item_windows"))
+    dw = windows(texts(docs, "doc_id"), "doc_id").drop("starts")
+    group, region = ["doc_id", "item_id", "starts"], ["doc_id", "item_id", "starts", "wide", "region"]
+    hits = dw.join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select(*group, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
+    # each diagonal alone, and bands of 2 * SHIFT of which each overlaps the next by half
+    band, at = F.floor(F.col("shift") / SHIFT), lambda wide, c: F.struct(F.lit(wide).alias("wide"), c.cast("long").alias("region"))
+    spread = hits.select("*", F.inline(F.array(at(False, F.col("shift")), at(True, band), at(True, band + 1))))
+    found = spread.groupBy(*region).agg(F.count_distinct("window").alias("matched_windows")).join(total, ["item_id", "starts"])
     found = checkpoint(found.where(F.col("matched_windows") * 100 >= F.col("item_windows") * percent))
-    ids = found.select("doc_id").distinct()
+    ids = checkpoint(found.select("doc_id").distinct())
     some = with_ids(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids, "left_semi")
-    theirs = texts(some, "doc_id").select("doc_id", tokens(F.col("text")).alias("theirs"))
-    pairs = found.join(theirs, "doc_id").join(items.drop("text"), "item_id")
+    # the hits of these documents again, which are few, instead of keeping all
+    again = windows(texts(some, "doc_id"), "doc_id").drop("starts").join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select(*group, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos").distinct()
+    again = again.select("*", F.inline(F.array(at(False, F.col("shift")), at(True, band), at(True, band + 1)))).join(found.select(*region), region, "left_semi")
+    again = again.withColumn("weight", F.count("*").over(Window.partitionBy(*region, "shift")))
+    places = again.groupBy(*region, "item_pos").agg(F.max(F.struct("weight", (-F.col("shift")).alias("back"))).alias("m"))
+    places = places.groupBy(*region).agg(F.collect_list(F.struct("item_pos", (-F.col("m.back")).cast("int").alias("shift"))).alias("places"))
+    theirs = texts(some, "doc_id").select("doc_id", F.explode(F.array(*[F.struct(F.lit(s).alias("starts"), tokens(F.col("text"), s).alias("theirs")) for s in (False, True)])).alias("t")).select("doc_id", "t.*")
+    pairs = found.join(places, region).join(theirs, ["doc_id", "starts"]).join(own, ["item_id", "starts"])
     # chance placeholders outside the windows that match don't count
-    each = lambda p: F.transform(F.sequence(p, p + WORDS - 1), lambda i: F.struct(F.get("own", i).alias("own"), F.get("theirs", i + F.col("shift")).alias("their")))
+    each = lambda p: F.transform(F.sequence(p["item_pos"], p["item_pos"] + WORDS - 1), lambda i: F.struct(F.get("own", i).alias("own"), F.get("theirs", i + p["shift"]).alias("their")))
     slots = F.filter(F.flatten(F.transform("places", each)), lambda x: x["own"].startswith(_MARK) & x["their"].startswith(_MARK))
     pairs = pairs.select("doc_id", "item_id", "matched_windows", "item_windows", F.array_distinct(slots).alias("slots"))
     pairs = pairs.where(

@@ -264,6 +264,16 @@ def test_decontamination_finds_reparameterised_items(spark, none):
     assert decontamination.decontaminate(df, bench.where("item_id < 0")).count() == len(rows)
 
 
+def test_decontamination_with_inserted_words_and_names_at_starts(spark):
+    w = prose(54, 41).split()
+    item = "Mary has 12 apples and " + prose(12, 42) + ".\nMary sells them at noon to " + prose(12, 43) + ". Mary goes home with " + prose(12, 44)
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, item)], "item_id long, text string")
+    docs = [(1, f"{prose(30, 45)} {' '.join([*w[:27], 'inserted', *w[27:]])} {prose(30, 46)}"), (2, f"{prose(30, 47)} {' '.join([*w[:26], *w[27:]])}"),
+            (3, item.replace("Mary", "Boris").replace("12", "77")), (4, item.replace("Mary goes", "Boris goes")), (5, prose(300, 48)), (6, item.lower())]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {(1, 1), (2, 1), (3, 2)} <= got and not {5} & {d for d, _ in got}
+
+
 def test_templates_have_equal_places(spark):
     texts = ["at 60 km/h for 5 km and 7 KM/H", "in \u0130stanbul, \u0130zmir and Bonn 3.50 euros", "Mary Ann had 1,000.5 kg/m. The 3 m/s", ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
