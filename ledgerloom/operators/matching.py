@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import norm, words
+from .related import contained_either_way, sharing
 
 # Weights of the signals in thousandths; floor and automatic threshold in millionths.
 WEIGHTS = {"amount": 400, "date": 250, "description": 200, "vendor": 150}
 FLOOR, AUTO, EXACT = 200_000, 900_000, 990_000
 TOLERANCE_DAYS, TOP = 7, 5
-#: Days and relative difference within which blocked candidates lie.
-BLOCK_DAYS, BLOCK_PERCENT = 30, 5
 
 
 def amount_score(doc: Column, tx: Column) -> Column:
@@ -101,60 +100,165 @@ def scored(pairs: DataFrame, tolerance: int = TOLERANCE_DAYS, override: bool = T
     return out.select("*", total.cast("int").alias("total"), reasons.alias("reasons"))
 
 
-def _keys(df: DataFrame, prefix: str, spread: bool) -> DataFrame:
-    """Rows with their block keys: (amount, day) cells, and (vendor, day); spread adds the neighbouring cells."""
-    amount, day = F.col(f"{prefix}amount"), F.floor(F.datediff(F.col(f"{prefix}date"), F.lit("1970-01-01").cast("date")) / (BLOCK_DAYS + 1))
-    width = math.log1p(BLOCK_PERCENT / 100) - math.log1p(-BLOCK_PERCENT / 100)
-    size = F.when(amount == 0, 0).otherwise(F.signum(amount) * (100_000 + F.floor(F.ln(F.abs(amount).cast("double")) / width))).cast("long")
-    near = (lambda x: F.array(x - 1, x, x + 1)) if spread else (lambda x: F.array(x))
-    vendor = F.col("t_vendor" if prefix else "n_vendor")
-    cells = df.select("*", F.explode(near(day)).alias("day"))
-    by_amount = cells.select("*", F.explode(F.transform(near(size), lambda x: x.cast("string"))).alias("cell"), F.lit("amount").alias("by"))
-    return by_amount.unionByName(cells.select("*", vendor.alias("cell"), F.lit("vendor").alias("by")).where("cell <> ''"))
+def candidates(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Every pair of documents and transactions, prepared; ledger columns get the prefix tx_. For tables of a few rows."""
+    return prepared(docs).crossJoin(prepared_ledger(ledger))
 
 
-def candidates(docs: DataFrame, ledger: DataFrame, exact: bool = False, blocked: bool = False) -> DataFrame:
-    """Pairs of documents and transactions to score, every one; ledger columns get the prefix tx_.
+def exact_matches(docs: DataFrame, ledger: DataFrame, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """All pairs that is_exact() holds for, scored: they are equal in amount and day, by which they are joined."""
+    pairs = prepared(docs).join(prepared_ledger(ledger), (F.col("amount") == F.col("tx_amount")) & (F.col("date").cast("date") == F.col("tx_date").cast("date")))
+    return scored(pairs, tolerance).where("is_exact")
 
-    exact: as a nested loop over a broadcast ledger - for small ledgers. blocked: only those within
-    BLOCK_DAYS whose amounts are within BLOCK_PERCENT of the transaction's or whose vendors are equal,
-    by equi-joins on cells. That loses most pairs at or above the floor, and all without a date.
-    """
-    docs, tx = prepared(docs), prepared_ledger(ledger)
-    if exact:
-        return docs.join(F.broadcast(tx))
-    if not blocked:
-        return docs.crossJoin(tx)
-    right = _keys(tx, "tx_", True)
-    found = _keys(docs, "", False).join(right, ["by", "cell", "day"])
-    near = F.abs(F.datediff("date", "tx_date")) <= BLOCK_DAYS
-    close = (F.abs(F.col("amount") - F.col("tx_amount")) * 100 <= F.abs("tx_amount") * BLOCK_PERCENT) | (F.col("amount") == F.col("tx_amount"))
-    # a pair that both keys find is taken from the amount's
-    first = F.when(F.col("by") == "amount", close).otherwise(~F.coalesce(close, F.lit(False)))
-    return found.where(near & first).drop("by", "cell", "day")
-
-
-def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS, exact: bool = False, blocked: bool = False) -> DataFrame:
-    """The best `top` transactions of every document, at or above the floor; ties by later date, then ledger_id."""
+
+def _amount_cells(amount: Column, percent: int, near: bool = False) -> Column:
+    """Cells of amounts, by sign and logarithm; near: all that amounts within percent of this one lie in."""
+    low, high = math.log1p(-percent / 100), math.log1p(percent / 100)
+    width = high * 1.001
+    at = F.when(amount == 0, 0).otherwise(10_000 + F.floor(F.ln(F.abs(amount).cast("double")) / width)).cast("long")
+    steps = range(math.floor(low / width), 2) if near else (0,)
+    sign = F.signum(amount.cast("double")).cast("long")
+    return F.when(amount.isNotNull(), F.array_distinct(F.array(*[sign * (at + k) for k in steps])))
+
+
+def _day_cells(day: Column, days: int, near: bool = False) -> Column:
+    """Cells of days; near: all that days within so many of this one lie in."""
+    at = F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
+    return F.when(day.isNotNull(), F.array(*[at + k for k in ((-1, 0, 1) if near else (0,))]))
+
+
+def _near(docs: DataFrame, tx: DataFrame, percent: int, days: int) -> DataFrame:
+    """All pairs within percent of the transaction's amount and so many days, and some beyond, by a join on cells of both."""
+    left = docs.select("*", F.explode(_amount_cells(F.col("amount"), percent)).alias("cell"), F.element_at(_day_cells(F.col("date"), days), 1).alias("day")).where("day is not null")
+    right = tx.select("*", F.explode(_amount_cells(F.col("tx_amount"), percent, True)).alias("cell")).select("*", F.explode(_day_cells(F.col("tx_date"), days, True)).alias("day"))
+    return left.join(right, ["cell", "day"]).drop("cell", "day")
+
+
+def _best(pairs: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy(F.desc("total"), F.col("tx_date").desc_nulls_last(), "tx_ledger_id")
-    pairs = scored(candidates(docs, ledger, exact, blocked), tolerance).where(F.col("total") >= floor)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP, blocked: bool = False) -> DataFrame:
+def _with_bound(docs: DataFrame, best: DataFrame, top: int, floor: int) -> DataFrame:
+    """Documents with the total that a further match must reach: that of the last of `top` so far, or the floor."""
+    reached = best.groupBy("document_id").agg(F.min("total").alias("least"), F.count("*").alias("n")).where(F.col("n") >= top)
+    return docs.join(reached.select("document_id", "least"), "document_id", "left").withColumn("bound", F.greatest(F.coalesce("least", F.lit(floor)), F.lit(floor))).drop("least")
+
+
+def _related(docs: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points (millionths) of all pairs of distinct vendors, and of distinct descriptions, that have any."""
+    texts = lambda df, c: df.select(c).distinct().where(F.col(c) != "")
+    v, tv, s, ts = texts(docs, "n_vendor"), texts(tx, "t_vendor"), texts(docs, "n_description"), texts(tx, "t_description")
+    first = lambda df, c: df.select(F.col(c), F.regexp_extract(c, r"^\S*", 0).alias("word"))
+    same_first = first(v, "n_vendor").join(first(tv, "t_vendor"), "word").select("n_vendor", "t_vendor")
+    vendors = contained_either_way(v, tv).union(same_first).distinct().toDF("n_vendor", "t_vendor")
+    vendors = vendors.select("*", (_vendor(F.col("n_vendor"), F.col("t_vendor")) * WEIGHTS["vendor"]).alias("points"))
+    descriptions = contained_either_way(s, ts).union(sharing(s, ts, words, 3)).distinct().toDF("n_description", "t_description")
+    points = _description(F.col("n_description"), words(F.col("n_description")), F.col("t_description"), words(F.col("t_description"))) * WEIGHTS["description"]
+    return vendors.where("points > 0"), descriptions.select("*", points.alias("points")).where("points > 0")
+
+
+def _far(docs: DataFrame, tx: DataFrame, floor: int, tolerance: int) -> DataFrame:
+    """Pairs that reach their document's bound although amounts or days are too far apart to count.
+
+    What such a pair can still reach depends on what it has: related vendors or descriptions, with or
+    without one of amount and day, or only one of these. Each of these cases is a kind of key, which a
+    document has only if its bound is in reach; one equi-join on (kind, text, cell) finds them all.
+    """
+    c, reach = F.col, max(30, 2 * tolerance)
+    most = {k: w * 1000 for k, w in WEIGHTS.items()}
+    # days within which the day alone can reach the floor
+    alone = reach if floor <= 300 * WEIGHTS["date"] else max(0, math.floor((1 - floor / most["date"]) * (tolerance + 1)))
+    key = lambda kind, text, cells: F.transform(cells, lambda x: F.struct(F.lit(kind).alias("kind"), text.alias("text"), x.alias("cell")))
+    one = F.array(F.lit(0).cast("long"))
+    none = F.lit("")
+    amount, day = (lambda p, near: _amount_cells(c(f"{p}amount"), 20, near)), (lambda p, near: _day_cells(c(f"{p}date"), reach, near))
+    keep = lambda test, keys: F.when(test, keys)
+    flat = lambda *keys: F.explode(F.flatten(F.array_compact(F.array(*keys)))).alias("key")
+    vendors, descriptions = _related(docs, tx)
+
+    def by(pairs: DataFrame, doc_text: str, text: str, more: int) -> DataFrame:
+        best = c("points") + more
+        return docs.join(pairs, doc_text).select(docs["*"], flat(
+            keep(c("bound") <= best + most["amount"], key(f"{text}+amount", c(text), amount("", False))),
+            keep(c("bound") <= best + most["date"], key(f"{text}+day", c(text), day("", False))),
+            keep(c("bound") <= best, key(text, c(text), one)),
+        ))
+
+    left = by(vendors, "n_vendor", "t_vendor", most["description"]).unionByName(by(descriptions, "n_description", "t_description", 0)).unionByName(
+        docs.select("*", flat(
+            keep(c("bound") <= most["amount"], key("amount", none, amount("", False))),
+            keep(c("bound") <= most["date"], key("day", none, _day_cells(c("date"), alone))),
+        ))
+    )
+    right = tx.select("*", flat(
+        *[key(f"{t}{k}", c(t), cells) for t in ("t_vendor", "t_description") for k, cells in (("+amount", amount("tx_", True)), ("+day", day("tx_", True)), ("", one))],
+        key("amount", none, amount("tx_", True)), key("day", none, _day_cells(c("tx_date"), alone, True)),
+    ))
+    kind = c("key.kind")
+    pairs = left.join(right, "key").select("*", (amount_score(c("amount"), c("tx_amount")) * WEIGHTS["amount"]).alias("a"), (date_score(c("date"), c("tx_date"), tolerance) * WEIGHTS["date"]).alias("d"))
+    # each pair is found by one kind of key
+    once = (
+        F.when(kind == "amount", (c("a") >= c("bound")) & (c("d") == 0)).when(kind == "day", (c("d") >= c("bound")) & (c("a") == 0))
+        .when(kind.endswith("+amount"), (c("a") > 0) & (c("a") < c("bound")) & (c("d") == 0))
+        .when(kind.endswith("+day"), (c("d") > 0) & (c("d") < c("bound")) & (c("a") == 0)).otherwise((c("a") == 0) & (c("d") == 0))
+    )
+    found = scored(pairs.where(once).drop("a", "d"), tolerance).where(~kind.startswith("t_description") | (c("vendor_score") == 0))
+    return found.where("total >= bound").drop("key")
+
+
+def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+    """The best `top` transactions of every document, of all that score the floor or more; ties by later date, then ledger_id.
+
+    Returns document_id, tx_ledger_id, tx_date, the four scores, is_exact, total, reasons and rank. No pair
+    is left out: pairs close in amount and day come first, by joins on cells, and set the total that
+    any other pair of the document must reach; the others are looked up by what they need for that. A
+    floor of 0 or less asks for every pair, and compares every pair.
+    """
+    d = prepared(docs).select("document_id", "amount", "date", "n_description", "n_words", "n_vendor", "n_source")
+    t = prepared_ledger(ledger).select("tx_ledger_id", "tx_amount", "tx_date", "t_description", "t_words", "t_vendor", "t_source", "t_destination")
+    out = ["document_id", "tx_ledger_id", "tx_date", *[f"{k}_score" for k in WEIGHTS], "is_exact", "total", "reasons"]
+    if floor <= 0:
+        return _best(scored(d.crossJoin(t), tolerance).where(F.col("total") >= floor).select(out), top)
+    c = F.col
+    numbers = amount_score(c("amount"), c("tx_amount")) * WEIGHTS["amount"] + date_score(c("date"), c("tx_date"), tolerance) * WEIGHTS["date"]
+    texts = 1000 * (WEIGHTS["description"] + WEIGHTS["vendor"])
+    seed = _best(scored(_near(d, t, 5, tolerance).where(numbers >= floor), tolerance).select(out), top)
+    both = (amount_score(c("amount"), c("tx_amount")) > 0) & (date_score(c("date"), c("tx_date"), tolerance) > 0)
+    near = _near(_with_bound(d, seed, top, floor), t, 20, max(30, 2 * tolerance)).where(both & (numbers + texts >= c("bound")))
+    near = _best(scored(near, tolerance).where("total >= bound").select(out), top)
+    far = _best(_far(_with_bound(d, near, top, floor), t, floor, tolerance).select(out), top)
+    return _best(near.drop("rank").unionByName(far.drop("rank")), top)
+
+
+def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
     """The best documents of every transaction, by the reverse view's own formula of amount and date.
 
     Amounts count 600 if equal and 570, 480, 360, 240 below 1, 5, 10, 20 percent; dates 400, 360, 280, 200,
-    120 on the day and within 3, 7, 14, 30 days.
+    120 on the day and within 3, 7, 14, 30 days; from 200 on a pair counts. Pairs that have both come first;
+    those with one of them are only looked up where it can reach the last of `top` so far.
     """
     c = F.col
     gap, base = F.abs(c("amount") - c("tx_amount")) * 100, F.abs("tx_amount")
     a = F.when(gap == 0, 600).when(gap < base, 570).when(gap < base * 5, 480).when(gap < base * 10, 360).when(gap < base * 20, 240).otherwise(0)
     n = F.abs(F.datediff("date", "tx_date"))
-    d = F.when(n == 0, 400).when(n <= 3, 360).when(n <= 7, 280).when(n <= 14, 200).when(n <= 30, 120).otherwise(0)
-    pairs = candidates(docs, ledger, blocked=blocked).select("document_id", "tx_ledger_id", (F.coalesce(a, F.lit(0)) + F.coalesce(d, F.lit(0))).alias("score")).where("score >= 200")
+    day = F.when(n == 0, 400).when(n <= 3, 360).when(n <= 7, 280).when(n <= 14, 200).when(n <= 30, 120).otherwise(0)
+    a, day = F.coalesce(a, F.lit(0)), F.coalesce(day, F.lit(0))
+    d = docs.select("document_id", "amount", "date")
+    t = ledger.select(F.col("ledger_id").alias("tx_ledger_id"), F.col("amount").alias("tx_amount"), F.col("date").alias("tx_date"))
     order = Window.partitionBy("tx_ledger_id").orderBy(F.desc("score"), "document_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        rows = pairs.select("document_id", "tx_ledger_id", (a + day).alias("score")).where("score >= 200")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    near = best(_near(d, t, 20, 30).where((a > 0) & (day > 0)))
+    full = near.groupBy("tx_ledger_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= top).select("tx_ledger_id", "least")
+    t = t.join(full, "tx_ledger_id", "left").withColumn("least", F.coalesce("least", F.lit(200)))
+    by_amount = d.select("*", F.explode(_amount_cells(c("amount"), 20)).alias("cell")).join(t.where("least <= 600").select("*", F.explode(_amount_cells(c("tx_amount"), 20, True)).alias("cell")), "cell").where((day == 0) & (a >= c("least")))
+    by_day = d.select("*", F.explode(_day_cells(c("date"), 14)).alias("cell")).join(t.where("least <= 400").select("*", F.explode(_day_cells(c("tx_date"), 14, True)).alias("cell")), "cell").where((a == 0) & (day >= c("least")))
+    every = near.unionByName(best(by_amount)).unionByName(best(by_day)).drop("rank")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def unambiguous(proposals: DataFrame, threshold: int = AUTO) -> DataFrame:

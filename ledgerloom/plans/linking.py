@@ -21,10 +21,13 @@ def score_candidate(spark, sf_dir):
     return M.scored(pairs, override=False).select("document_id", "total")
 
 
+def _live(ledger):
+    return ledger.where("match_status = 'UNMATCHED' and deleted_at is null")
+
+
 def _top(spark, sf_dir):
-    """Within the block, as the SQL of these queries has it."""
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    return M.top_matches(docs, ledger.where("match_status = 'UNMATCHED' and deleted_at is null"), blocked=True)
+    return M.top_matches(docs, _live(ledger))
 
 
 def match_topk(spark, sf_dir):
@@ -33,18 +36,20 @@ def match_topk(spark, sf_dir):
 
 def match_exact(spark, sf_dir):
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    pairs = M.scored(M.candidates(docs, ledger.where("deleted_at is null"), blocked=True)).where("is_exact")
-    return pairs.select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total")
+    return M.exact_matches(docs, ledger.where("deleted_at is null")).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total")
 
 
 def match_reverse(spark, sf_dir):
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    return M.reverse_matches(ledger.where("match_status = 'UNMATCHED' and deleted_at is null"), docs, blocked=True).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "score", "rank")
+    return M.reverse_matches(_live(ledger), docs).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "score", "rank")
 
 
 def auto_link_unambiguous(spark, sf_dir):
-    proposals = _top(spark, sf_dir).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total", F.lit("PENDING").alias("status"))
-    return M.unambiguous(proposals, 800_000).select("document_id", "ledger_id", "total")
+    """Links at 0.75 over a ledger of bank rows, where some documents came in twice and are ambiguous."""
+    docs, bank = spark_views(spark, sf_dir, "paper", "bank")
+    found = M.top_matches(docs, bank, floor=750_000)
+    proposals = found.select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total", F.lit("PENDING").alias("status"))
+    return M.unambiguous(proposals, 750_000).select("document_id", "ledger_id", "total")
 
 
 def proposals_new(spark, sf_dir):
@@ -66,46 +71,47 @@ _DESC = """CASE WHEN description = tx_description THEN 1000 WHEN contains(descri
   WHEN len(list_intersect(a, b)) * 10 > len(list_distinct(list_concat(a, b))) * 3 THEN CAST(round(len(list_intersect(a, b)) * 1000.0::DOUBLE / len(list_distinct(list_concat(a, b)))) AS INT) ELSE 0 END"""
 _VENDOR = """CASE WHEN vendor = tx_vendor THEN 1000 WHEN contains(vendor, tx_vendor) OR contains(tx_vendor, vendor) THEN 850
   WHEN split_part(vendor, ' ', 1) = split_part(tx_vendor, ' ', 1) THEN 600 ELSE 0 END"""
-_EXACT = """amount = tx_amount AND days = 0 AND ((contains(vendor, tx_source) OR contains(tx_source, vendor)) OR coalesce(contains(vendor, tx_dest) OR contains(tx_dest, vendor), false) OR source_account = tx_source)"""
+_ACCOUNT = """coalesce(contains(vendor, tx_source) OR contains(tx_source, vendor), false) OR coalesce(contains(vendor, tx_dest) OR contains(tx_dest, vendor), false) OR coalesce(source_account = tx_source, false)"""
 _TX = """tx AS (SELECT ledger_id, amount AS tx_amount, date AS tx_date, description AS tx_description, source_account AS tx_source,
-  destination_account AS tx_dest, coalesce(destination_account, source_account) AS tx_vendor, match_status, deleted_at FROM ledger)"""
+  destination_account AS tx_dest, coalesce(destination_account, source_account) AS tx_vendor, match_status, deleted_at FROM {ledger})"""
 
 
-def _scored(pairs: str) -> str:
-    return f"""p AS (SELECT *, abs(date_diff('day', date, tx_date)) AS days, string_split(description, ' ') AS a, string_split(tx_description, ' ') AS b FROM ({pairs})),
-    s AS (SELECT *, {_AMOUNT} AS amount_score, {_DATE} AS date_score, {_DESC} AS description_score, {_VENDOR} AS vendor_score, {_EXACT} AS is_exact FROM p),
+def _scored(pairs: str, docs: str = "proposal") -> str:
+    """All pairs, scored; texts are compared once for each two distinct ones."""
+    return f"""dp AS (SELECT description, tx_description, {_DESC} AS ds FROM (SELECT DISTINCT description, string_split(description, ' ') AS a FROM {docs}), (SELECT DISTINCT tx_description, string_split(tx_description, ' ') AS b FROM tx)),
+    vp AS (SELECT vendor, tx_vendor, {_VENDOR} AS vs FROM (SELECT DISTINCT vendor FROM {docs}), (SELECT DISTINCT tx_vendor FROM tx)),
+    p AS (SELECT *, abs(date_diff('day', date, tx_date)) AS days FROM ({pairs})),
+    s AS (SELECT p.*, {_AMOUNT} AS amount_score, {_DATE} AS date_score, coalesce(ds, 0) AS description_score, coalesce(vs, 0) AS vendor_score,
+      CASE WHEN amount = tx_amount AND days = 0 THEN {_ACCOUNT} ELSE false END AS is_exact FROM p LEFT JOIN dp USING (description, tx_description) LEFT JOIN vp USING (vendor, tx_vendor)),
     w AS (SELECT *, amount_score * 400 + date_score * 250 + description_score * 200 + vendor_score * 150 AS weighted FROM s),
     t AS (SELECT *, CASE WHEN is_exact THEN greatest(weighted, 990000) ELSE weighted END AS total FROM w)"""
 
 
-_SAME = duckdb_views("proposal", "ledger") + f", {_TX}, " + _scored("SELECT * FROM proposal JOIN tx ON document_id = ledger_id")
-#: Days of 31 in cells, so that dates within 30 days meet in one of three.
-_CELLS = """SELECT DISTINCT d.*, t.* FROM (SELECT *, date_diff('day', DATE '1970-01-01', date) // 31 AS cell FROM proposal) d
-  JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS near FROM (SELECT *, date_diff('day', DATE '1970-01-01', tx_date) // 31 AS c FROM tx WHERE {live})) t ON cell = near
-  WHERE abs(date_diff('day', d.date, t.tx_date)) <= 30 AND (abs(amount - tx_amount) * 100 <= abs(tx_amount) * 5 OR vendor = tx_vendor)"""
-_LIVE = "match_status = 'UNMATCHED' AND deleted_at IS NULL"
-
-
-def _blocked(live: str) -> str:
-    return duckdb_views("proposal", "ledger") + f", {_TX}, " + _scored(_CELLS.replace("{live}", live).replace("d.*, t.*", "d.* EXCLUDE (cell), t.* EXCLUDE (near, c)"))
+def all_pairs(live: str, docs: str = "true") -> str:
+    """Scores of every document with every transaction, as t."""
+    return duckdb_views("proposal", "ledger") + f", {_TX.format(ledger='ledger')}, " + _scored(f"SELECT * FROM proposal, tx WHERE ({live}) AND ({docs})")
 
 
-_RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY total DESC, tx_date DESC NULLS LAST, ledger_id) AS rank FROM t WHERE total >= 200000), best AS (SELECT * FROM ranked WHERE rank <= 5)"
+_SAME = duckdb_views("proposal", "ledger") + f", {_TX.format(ledger='ledger')}, " + _scored("SELECT * FROM proposal JOIN tx ON document_id = ledger_id")
+# below a total of 0.75 nothing counts here, and without an amount score the others reach 0.60 at most
+_PAPER = duckdb_views("paper", "bank") + f", {_TX.format(ledger='bank')}, " + _scored("SELECT * FROM paper, tx WHERE abs(amount - tx_amount) * 100 <= abs(tx_amount) * 20", "paper")
+LIVE = "match_status = 'UNMATCHED' AND deleted_at IS NULL"
+RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY total DESC, tx_date DESC NULLS LAST, ledger_id) AS rank FROM t WHERE total >= 200000), best AS (SELECT * FROM ranked WHERE rank <= 5)"
 ORACLE_SQL = {
     "match_signals": _SAME + """SELECT document_id, amount_score, CAST(date_score AS INT) AS date_score, description_score, vendor_score, is_exact, CAST(total AS INT) AS total,
       concat_ws(',', CASE WHEN is_exact THEN 'EXACT_MATCH' END, CASE WHEN amount_score > 500 THEN 'amount' END, CASE WHEN date_score > 500 THEN 'date' END,
       CASE WHEN description_score > 500 THEN 'description' END, CASE WHEN vendor_score > 500 THEN 'vendor' END) AS reasons FROM t""",
     "score_candidate": _SAME + "SELECT document_id, CAST(weighted AS INT) AS total FROM t",
-    "match_topk": _blocked(_LIVE) + _RANKED + " SELECT document_id, ledger_id, CAST(total AS INT) AS total, is_exact, CAST(rank AS INT) AS rank FROM best",
-    "match_exact": _blocked("deleted_at IS NULL") + " SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM t WHERE is_exact",
-    "match_reverse": _blocked(_LIVE) + """, r AS (SELECT document_id, ledger_id,
+    "match_topk": all_pairs(LIVE) + RANKED + " SELECT document_id, ledger_id, CAST(total AS INT) AS total, is_exact, CAST(rank AS INT) AS rank FROM best",
+    "match_exact": all_pairs("deleted_at IS NULL") + " SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM t WHERE is_exact",
+    "match_reverse": duckdb_views("proposal", "ledger") + f""", {_TX.format(ledger='ledger')}, p AS (SELECT document_id, ledger_id, amount, tx_amount, abs(date_diff('day', date, tx_date)) AS days FROM proposal, tx WHERE {LIVE}), r AS (SELECT document_id, ledger_id,
       CASE WHEN amount = tx_amount THEN 600 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) THEN 570 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 5 THEN 480
            WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 10 THEN 360 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 20 THEN 240 ELSE 0 END
-      + CASE WHEN days = 0 THEN 400 WHEN days <= 3 THEN 360 WHEN days <= 7 THEN 280 WHEN days <= 14 THEN 200 WHEN days <= 30 THEN 120 ELSE 0 END AS score FROM t),
+      + CASE WHEN days = 0 THEN 400 WHEN days <= 3 THEN 360 WHEN days <= 7 THEN 280 WHEN days <= 14 THEN 200 WHEN days <= 30 THEN 120 ELSE 0 END AS score FROM p),
       n AS (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY score DESC, document_id) AS rank FROM r WHERE score >= 200)
       SELECT document_id, ledger_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM n WHERE rank <= 5""",
-    "auto_link_unambiguous": _blocked(_LIVE) + _RANKED + """, c AS (SELECT *, count(*) FILTER (total >= 800000) OVER (PARTITION BY ledger_id) AS strong FROM best)
-      SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM c WHERE strong = 1 AND total >= 800000""",
-    "proposals_new": _blocked(_LIVE) + _RANKED + """ SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM best
+    "auto_link_unambiguous": _PAPER + RANKED.replace("200000", "750000") + """, c AS (SELECT *, count(*) OVER (PARTITION BY ledger_id) AS strong FROM best)
+      SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM c WHERE strong = 1""",
+    "proposals_new": all_pairs(LIVE) + RANKED + """ SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM best
       WHERE document_id NOT IN (SELECT ledger_id FROM ledger WHERE match_status = 'MATCHED') AND NOT (document_id = ledger_id AND ledger_id % 8 = 1)""",
 }

@@ -34,6 +34,15 @@ VIEWS = {
                CASE WHEN o_orderkey % 19 = 0 THEN concat('ARCHIVE:', CAST(o_orderkey AS STRING), ' x') END AS internal_reference,
                CASE WHEN o_orderkey % 23 = 0 THEN concat('note. Archive doc_id=', CAST(o_orderkey AS STRING)) END AS notes
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "paper": """
+        SELECT o_orderkey + CASE WHEN n > 0 THEN 1000000000 ELSE 0 END AS document_id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderdate AS DATE) AS date,
+               lower(c_name) AS vendor, concat('invoice ', lower(c_mktsegment), ' ', lower(o_orderpriority)) AS description, lower(c_mktsegment) AS source_account
+        FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) copies WHERE n = 0 OR o_orderkey % 4 = 0""",
+    "bank": """
+        SELECT o_orderkey AS ledger_id, CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS amount, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS date,
+               CASE WHEN o_orderkey % 7 = 0 THEN concat('invoice ', lower(c_mktsegment)) ELSE 'card payment' END AS description, lower(c_mktsegment) AS source_account,
+               CASE WHEN o_orderkey % 6 = 0 THEN concat('the ', lower(c_name)) ELSE lower(c_name) END AS destination_account, 'UNMATCHED' AS match_status, CAST(NULL AS DATE) AS deleted_at
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
     "extraction": """
         SELECT o_orderkey * 10 AS id, o_orderkey AS document_id, concat('x', CAST(o_orderkey AS STRING)) AS external_id,
                (o_orderkey % 101) / CAST(100 AS DOUBLE) AS overall,

@@ -2,9 +2,14 @@
 
 import hashlib
 import json
+import os
+import shutil
+import subprocess
+import sys
 import zlib
 from datetime import date
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import streaming
 from ledgerloom.functions import pii, text
-from ledgerloom.operators import confidence, einvoice, identity, matching, ocr, queues, splits, sync
+from ledgerloom.operators import confidence, einvoice, identity, matching, ocr, queues, related, splits, suggestions, sync
 from ledgerloom.plans import registry
 from ledgerloom.sources import tables
 from ledgerloom.sources.views import spark_views
@@ -65,18 +70,28 @@ def _ledger(spark, rows):
     return spark.createDataFrame(rows, "ledger_id long, amount decimal(18,2), date date, description string, source_account string, destination_account string")
 
 
-def test_blocked_matches_equal_exact_ones_in_reach(spark):
+@pytest.mark.parametrize(("floor", "tolerance"), [(200_000, 7), (100_000, 20), (600_000, 7), (0, 7)])
+def test_top_matches_equal_all_pairs(spark, floor, tolerance):
     docs, ledger = spark_views(spark, SF, "proposal", "ledger")
-    docs, ledger = docs.where("document_id % 7 = 0").cache(), ledger.where("ledger_id % 5 < 2").cache()
-    near = lambda df: {(r.document_id, r.tx_ledger_id, r.total) for r in df.where("abs(datediff(date, tx_date)) <= 30 and (abs(amount - tx_amount) * 100 <= abs(tx_amount) * 5 or n_vendor = t_vendor)").collect()}
-    assert near(matching.scored(matching.candidates(docs, ledger))) == near(matching.scored(matching.candidates(docs, ledger, exact=True)))
-
-
-def test_block_equals_all_pairs_in_reach(spark):
-    docs, ledger = spark_views(spark, SF, "proposal", "ledger")
-    docs, ledger = docs.where("document_id % 7 = 0").cache(), ledger.where("ledger_id % 5 < 2").cache()
-    near = lambda df: {(r.document_id, r.tx_ledger_id, r.total) for r in df.where("abs(datediff(date, tx_date)) <= 30 and (abs(amount - tx_amount) * 100 <= abs(tx_amount) * 5 or n_vendor = t_vendor)").collect()}
-    assert near(matching.scored(matching.candidates(docs, ledger, blocked=True))) == near(matching.scored(matching.candidates(docs, ledger)))
+    k = F.col("document_id")
+    docs = docs.where("document_id % 7 = 0").withColumns({
+        "amount": F.when(k % 5 != 0, F.col("amount")), "date": F.when(k % 4 != 0, F.col("date")), "vendor": F.when(k % 9 == 0, "").when(k % 11 == 0, F.concat(F.col("vendor"), F.lit(" shop"))).otherwise(F.col("vendor")),
+        "description": F.when(k % 6 == 0, "payment building").when(k % 13 != 0, F.col("description"))})
+    ledger = ledger.where("ledger_id % 5 < 2").withColumn("amount", F.when(F.col("ledger_id") % 8 == 0, -F.col("amount")).when(F.col("ledger_id") % 15 == 0, 0).otherwise(F.col("amount")).cast("decimal(18,2)")).withColumn("date", F.when(F.col("ledger_id") % 6 != 0, F.col("date")))
+    docs, ledger = docs.where("document_id % 3 < 2" if floor else "document_id % 63 = 0").cache(), ledger.cache()
+    best = matching._best(matching.scored(matching.candidates(docs, ledger), tolerance).where(F.col("total") >= floor), 5)
+    rows = lambda df: sorted((r.document_id, r["rank"], r.tx_ledger_id, r.total) for r in df.collect())
+    want = rows(best)
+    assert want and rows(matching.top_matches(docs, ledger, floor=floor, tolerance=tolerance)) == want
+
+
+def test_containing_and_sharing(spark):
+    texts = ["a", "ab", "ab c", "abcdefghijklmnopqrstuvwxyz", "ghijklmnopqrstuvw", "q", "c d e", "c d", "zz", "é 😀 x", "😀"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {tuple(r) for r in related.containing(df, df).collect()} == {(x, y) for x in texts for y in texts if y in x}
+    found = {tuple(r) for r in related.sharing(df, df, text.words, 3).collect()}
+    jaccard = lambda x, y: len(set(x.split()) & set(y.split())) * 10 > len(set(x.split()) | set(y.split())) * 3
+    assert {(x, y) for x in texts for y in texts if jaccard(x, y)} <= found
 
 
 def test_matches_outside_the_block(spark):
@@ -201,6 +216,36 @@ def test_sinks_and_filters(spark):
     assert one(spark, status) == "FAILED" and one(spark, retries) == 3
 
 
+@pytest.mark.parametrize(("answer", "want"), [
+    ('{"category": "Food", "confidence": 0.9}', {"category": "Food", "confidence": 0.9}),
+    ('```json\n{"a": {"b": [1, 2]}}\n```', {"a": {"b": [1, 2]}}), ('Sure! {"a": "x } y"} and {"b": 2}', {"a": "x } y"}),
+    ('{category: "Food", "list": [1, 2,], }', {"category": "Food", "list": [1, 2]}), ("{'a': 'it', b: true}", {"a": "it", "b": True}),
+    ('{"a": "line\none\ttab"}', {"a": "line\none\ttab"}), ('{"a": "q \\" q", "n": -1.5e3, "z": null}', {"a": 'q " q', "n": -1500.0, "z": None}),
+    ('[{"amount": 1}, {"amount": 2}]', {"should_split": True, "splits": [{"amount": 1}, {"amount": 2}], "confidence": 0.5, "reason": suggestions.SALVAGED}),
+    ('{"should_split": TRUE, "confidence": 0.7, "splits": [{"am', {"should_split": True, "confidence": 0.7, "reason": suggestions.SALVAGED}),
+    ('text "category": "Food", "reason": "cut', {"category": "Food", "reason": suggestions.SALVAGED}),
+    ('"category": "Food", "reason": "good" }', {"category": "Food", "reason": "good"}),
+    ("no json", None), ("", None), (None, None), ("{", None), ("[]", None), ("{" * 5000, None), ("[1, 2", None),
+])
+def test_tolerant_json(answer, want):
+    assert suggestions.parse_response(answer) == want
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    """The entry point and the engine work in a copy without the training-data operators and their pipeline."""
+    root = Path(tables.__file__).parents[2]
+    shutil.copytree(root / "ledgerloom", tmp_path / "ledgerloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q), set(e.oracle_sql()) <= set(q))"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    want = f"{len(registry.queries())} False True"
+    assert run().stdout.strip() == want
+    (tmp_path / "corpus_pipeline.py").write_text("from ledgerloom.llm.common import table\n")  # left behind alone
+    assert run().stdout.strip() == want
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    assert "no_such_module" in run().stderr
+
+
 def test_streams_equal_batches(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "user_id", "event_type")
     for k in range(3):
