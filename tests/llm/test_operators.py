@@ -337,13 +337,31 @@ def test_nearest_on_odd_vectors(spark):
     assert ann.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
-def test_index_retrieves_all_within_radius():
+def test_substrings_retrieve_all_within_radius_once():
     r = np.random.default_rng(4)
     codes = r.integers(0, 1 << 16, size=(3000, 4), dtype=np.uint16)
-    index = ann.Index(codes)
-    for radius in (3, 9, 20, 26):
-        q = codes[7] ^ np.uint16(5)
-        assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q).sum(axis=1) <= radius).tolist()
+    for radius in (0, 2, 3, 9, 20, 26, 64):
+        q, limits = codes[7] ^ np.uint16(5), ann.thresholds(radius, 4)
+        found = np.concatenate([ann.matches(codes, q, j, limits, radius) for j in range(4) if limits[j] >= 0])
+        assert sorted(found.tolist()) == np.flatnonzero(np.bitwise_count(codes ^ q).sum(axis=1) <= radius).tolist()
+
+
+def test_nearest_recall_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 512)  # several cells, and blocks of a hot one
+    monkeypatch.setattr(ann, "VISITS", 64)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(5000, 48)) + 2 * r.normal(size=(20, 48))[r.integers(0, 20, 5000)]
+    x[:1500] = x[0] + 1e-3 * r.normal(size=(1500, 48))  # nearly one vector
+    x[4990:] *= 0.01  # outliers
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for g in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    s = x[::20] @ x.T
+    s[np.arange(250), np.arange(0, 5000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    assert set(got) == set(range(0, 5000, 20)) and all(len(v) == 20 for v in got.values())
+    assert sum(len(set(b.tolist()) & got[20 * i]) for i, b in enumerate(best)) / 5000 > 0.9
 
 
 def test_escapes_are_reversible():
