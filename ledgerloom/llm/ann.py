@@ -17,7 +17,7 @@ ROTATIONS, PIECE = 2, 16
 #: Share of the sample's true neighbours that the Hamming radius must reach.
 REACH = 0.98
 #: Vectors of a block, which a task holds at once; queries that pass by one copy of it; leading bits that name a cell, at most.
-BLOCK, VISITS, CELL_BITS = 8192, 1 << 16, 12
+BLOCK, VISITS, CELL_BITS = 1 << 15, 1 << 16, 12
 
 
 def _bits(n: np.ndarray) -> np.ndarray:
