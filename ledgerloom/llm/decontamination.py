@@ -21,43 +21,63 @@ UNITS = (
     "eur usd gbp chf euro euros dollar dollars cent cents percent degrees celsius fahrenheit "
     "kb mb gb tb w kw kwh v a hz khz mhz ghz n j kj cal kcal pa kpa bar km/h mph"
 ).split()
-_MARK = "\u0001"
+_MARK, _START = "\u0001", "\u0002"
 _EDGE = r"(?![\p{L}\p{N}])"
 
 
-def template(text: Column, values: bool, starts: bool = False) -> Column:
+def marked(text: Column, values: bool) -> Column:
     """Words of a text, one space after each; numbers, names and units become placeholders of their type.
 
     With values, a placeholder is followed by its value; the places of words are the same either way. A
     number is a run of digits with separators inside; a unit is one of UNITS after a number; a name
-    starts with a capital and follows a lower-case letter, comma or semicolon and a space; with starts, also
-    any white space there, or the start of the text, of a line or of a sentence.
+    starts with a capital and follows a lower-case letter, comma or semicolon and a space. Other words with
+    a capital at the start of the text, of a line or of a sentence may be names: they stay, marked.
     """
     keep = (lambda group: group) if values else (lambda group: "")
     # each pattern starts with what is rare, and looks back from there
-    t = F.regexp_replace(F.translate(text, "\u0130", "I"), rf"[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,][0-9]+)*{_EDGE}", f" {_MARK}n{keep('$0')} ")
+    t = F.regexp_replace(F.translate(text, f"\u0130{_START}", "I"), rf"[0-9](?<![\p{{L}}\p{{N}}].)[0-9]*(?:[.,][0-9]+)*{_EDGE}", f" {_MARK}n{keep('$0')} ")
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     t = F.regexp_replace(t, rf"({_MARK}n\S* +)(?i:({units})){_EDGE}", f"$1{_MARK}u{keep('$2')} ")
     if values:  # a slash would end the word
         t = F.regexp_replace(t, rf"({_MARK}u\p{{L}}+)/", "$1")
-    before = r"(?:^|\n|\s(?<=[\p{Ll},;.!?:]\s))" if starts else r" (?<=[\p{Ll},;] )"
-    t = F.regexp_replace(t, rf"{before}(\p{{Lu}}\p{{L}}*)", f" {_MARK}p{keep('$1')}")
-    gap = rf"(?:[^\p{{L}}\p{{N}}{_MARK}.,]|[.,](?:(?<![0-9].)|(?![0-9])))+"
+    t = F.regexp_replace(t, r"(?:^|\n|\s(?<=[.!?:]\s)|[^\S ](?<=[\p{Ll},;]\s))(\p{Lu}\p{L}*)", f" {_START}$1")
+    t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(\p{Lu}\p{L}*)", f" {_MARK}p{keep('$1')}")
+    gap = rf"(?:[^\p{{L}}\p{{N}}{_MARK}{_START}.,]|[.,](?:(?<![0-9].)|(?![0-9])))+"
     return F.ltrim(F.regexp_replace(F.concat(F.lower(t), F.lit(" ")), gap, " "))
 
 
+def chosen(words: Column, values: bool, starts: bool) -> Column:
+    """Marked words with all that may be names as literal words, or with starts as names."""
+    return F.regexp_replace(words, rf"{_START}([^ ]*)", f"{_MARK}p{'$1' if values else ''}") if starts else F.translate(words, _START, "")
+
+
+def template(text: Column, values: bool, starts: bool = False) -> Column:
+    return chosen(marked(text, values), values, starts)
+
+
 def tokens(text: Column, starts: bool) -> Column:
     return F.split(F.rtrim(template(text, True, starts)), " ")
 
 
 def windows(texts: DataFrame, name: str) -> DataFrame:
-    """(name, starts, pos, window): a hash of every run of five words of either template.
+    """(name, pos, window, kinds): a hash of every run of five words, in either template.
 
-    One pattern yields all runs: at each word it looks ahead over five and steps on by one.
+    One pattern yields all runs: at each word it looks ahead over five and steps on by one. A run with
+    words that may be names has a window for each template, any other one for both; kinds are bits, 1
+    for literal words and 2 for names.
     """
-    runs = lambda starts: F.regexp_extract_all(template(F.col("text"), False, starts), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
-    both = texts.select(name, F.explode(F.array(*[F.struct(F.lit(s).alias("starts"), runs(s).alias("runs")) for s in (False, True)])).alias("t"))
-    return both.select(name, "t.starts", F.posexplode("t.runs").alias("pos", "run")).select(name, "starts", "pos", F.xxhash64("run", "starts").alias("window"))
+    runs = F.regexp_extract_all(marked(F.col("text"), False), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
+    each = texts.select(name, F.posexplode(runs).alias("pos", "run"))
+    one = lambda kinds, run: F.struct(F.xxhash64(run).alias("window"), F.lit(kinds).alias("kinds"))
+    run = F.col("run")
+    both = F.when(run.contains(_START), F.array(one(1, chosen(run, False, False)), one(2, chosen(run, False, True)))).otherwise(F.array(one(3, run)))
+    return each.select(name, "pos", F.inline(both))
+
+
+def _by_template(rows: DataFrame) -> DataFrame:
+    """A row for each template (starts) that its kinds have."""
+    has = lambda bit: F.col("kinds").bitwiseAND(F.lit(bit)) > 0
+    return rows.withColumn("starts", F.explode(F.array_compact(F.array(F.when(has(1), False), F.when(has(2), True))))).drop("kinds")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
@@ -80,13 +100,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     own = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(s).alias("starts"), tokens(F.col("text"), s).alias("own")) for s in (False, True)])).alias("t")).select("item_id", "t.*")
     literal = lambda p: F.size(F.filter(F.slice("own", p + 1, WORDS), lambda w: ~w.startswith(_MARK)))
     # only the items' windows need literal words: a document's window that equals one has as many
-    iw = windows(items, "item_id").join(own, ["item_id", "starts"]).where(literal(F.col("pos")) >= LITERAL)
+    iw = _by_template(windows(items, "item_id")).join(own, ["item_id", "starts"]).where(literal(F.col("pos")) >= LITERAL)
     iw = checkpoint(iw.select("item_id", "starts", F.col("pos").alias("item_pos"), "window").distinct())
+    asked = iw.select("item_id", "item_pos", "window", F.when(F.col("starts"), 2).otherwise(1).alias("own_kind"))
     n = iw.count()
     total = iw.groupBy("item_id", "starts").agg(F.countDistinct("window").alias("item_windows"))
-    dw = windows(texts(docs, "doc_id"), "doc_id").drop("starts")
-    group, region = ["doc_id", "item_id", "starts"], ["doc_id", "item_id", "starts", "wide", "region"]
-    hits = dw.join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select(*group, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
+    region = ["doc_id", "item_id", "starts", "wide", "region"]
+
+    def hit(some: DataFrame) -> DataFrame:
+        found = windows(texts(some, "doc_id"), "doc_id").join(F.broadcast(asked) if n <= BROADCAST_IDS else asked, "window").where(F.col("kinds").bitwiseAND(F.col("own_kind")) > 0)
+        return found.select("doc_id", "item_id", (F.col("own_kind") == 2).alias("starts"), (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
+
+    hits = hit(docs)
     # each diagonal alone, and bands of 2 * SHIFT of which each overlaps the next by half
     band, at = F.floor(F.col("shift") / SHIFT), lambda wide, c: F.struct(F.lit(wide).alias("wide"), c.cast("long").alias("region"))
     spread = hits.select("*", F.inline(F.array(at(False, F.col("shift")), at(True, band), at(True, band + 1))))
@@ -95,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     ids = checkpoint(found.select("doc_id").distinct())
     some = with_ids(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids, "left_semi")
     # the hits of these documents again, which are few, instead of keeping all
-    again = windows(texts(some, "doc_id"), "doc_id").drop("starts").join(F.broadcast(iw) if n <= BROADCAST_IDS else iw, "window").select(*group, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos").distinct()
+    again = hit(some).drop("window").distinct()
     again = again.select("*", F.inline(F.array(at(False, F.col("shift")), at(True, band), at(True, band + 1)))).join(found.select(*region), region, "left_semi")
     again = again.withColumn("weight", F.count("*").over(Window.partitionBy(*region, "shift")))
     places = again.groupBy(*region, "item_pos").agg(F.max(F.struct("weight", (-F.col("shift")).alias("back"))).alias("m"))
