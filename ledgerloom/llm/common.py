@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
 import numpy as np
@@ -25,17 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder of the session.
 
-    A folder is only set here if neither the session nor the context has one, as in tests.
+    A folder is only set here if neither the session nor the context has one, and only for a local
+    master, whose executors share the driver's disk; on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
 def with_ids(df: DataFrame, ids: DataFrame, how: str, n_ids: int | None = None) -> DataFrame:
-    """Join with a one-column id table; broadcast it only if its counted size is small."""
+    """Join with a table of ids (all its columns are the key); broadcast it only if its counted size is small."""
     n = ids.count() if n_ids is None else n_ids
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ids.columns, how)
 
@@ -63,15 +69,15 @@ def running_totals(rows: DataFrame, bucket: list[str], order: list, sums: dict[s
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): (id, label), label the least id of the component.
 
-    Large-star and small-star rounds: each joins the edges with one minimum per node, so no node's
-    neighbours are ever gathered. Each round is cut by a checkpoint in the shared folder.
+    Large-star and small-star rounds until nothing changes: each joins the edges with one minimum per
+    node, so no node's neighbours are ever gathered. Each round is cut by a checkpoint in the shared folder.
     """
     e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
+    before, now = None, ()
+    while now != before:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -79,12 +85,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, now = now, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     )

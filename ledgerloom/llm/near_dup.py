@@ -14,8 +14,8 @@ from .common import U, by_batch, checkpoint, components, lists, mix, shingles, t
 
 #: Bits of an odd sketch.
 BITS = 512
-#: Documents, or sketches of a bucket, compared with as many others in one task.
-BLOCK, SKETCHES = 256, 1024
+#: Documents, or sketches of a bucket, compared with as many others in one task; shingles that a block of documents holds.
+BLOCK, SKETCHES, ITEMS = 256, 1024, 1 << 22
 _NO_ID = -(2**63)
 
 
@@ -39,8 +39,10 @@ def _sets(part: pa.RecordBatch, k: int):
         yield np.unique(h[offsets[i] : offsets[i + 1]])
 
 
-def _set_id(s: np.ndarray) -> np.uint64:
-    return mix(np.add.reduce(mix(s ^ U(0xA5A5A5A5))) + U(len(s)))
+def _set_id(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set of shingles."""
+    n = U(len(s))
+    return mix(np.add.reduce(mix(s ^ U(0xA5A5A5A5))) + n), mix(np.add.reduce(mix(s * U(0x9E3779B97F4A7C15) + U(1))) ^ n)
 
 
 def _signatures(k: int, rows: int, bands: int):
@@ -51,7 +53,7 @@ def _signatures(k: int, rows: int, bands: int):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         n = part.num_rows
         least = np.zeros((n, samples), np.uint32)
-        size, ids = np.zeros(n, np.int64), np.zeros(n, U)
+        size, ids = np.zeros(n, np.int64), np.zeros((n, 2), U)
         for i, s in enumerate(_sets(part, k)):
             size[i] = len(s)
             if len(s):
@@ -69,8 +71,8 @@ def _signatures(k: int, rows: int, bands: int):
         for j in range(rows):
             key = mix(key * U(0x2545F4914F6CDD1D) + wide[:, :, j])
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(size), pa.array(ids.view(np.int64)), lists(key.view(np.int64)), lists(sketch)],
-            names=["doc_id", "n", "sid", "bands", "sketch"],
+            [part.column("doc_id"), part.column("th"), pa.array(size), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in ids.T], lists(key.view(np.int64)), lists(sketch)],
+            names=["doc_id", "th", "n", "s1", "s2", "bands", "sketch"],
         )
 
     return by_batch(run)
@@ -79,33 +81,42 @@ def _signatures(k: int, rows: int, bands: int):
 def _full_sets(k: int):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(_sets(part, k))
-        ids = np.array([_set_id(s) if len(s) else U(0) for s in sets], U).view(np.int64)
+        ids = np.array([_set_id(s) if len(s) else (U(0), U(0)) for s in sets], U).reshape(-1, 2)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "sid", "items"])
+        cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in ids.T]
+        return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["s1", "s2", "items"])
 
     return by_batch(run)
 
 
-def _forest(u: np.ndarray, v: np.ndarray, near) -> pd.DataFrame:
-    """Links (u[i], v[j]) that span all that near(i), a mask over v, connects."""
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+def _forest(u: pd.DataFrame, v: pd.DataFrame, near) -> pd.DataFrame:
+    """Links between rows of u and v that join what has different labels, spanning all that near(i), a mask over v, connects."""
+    names, at = np.unique(np.concatenate([u["label"], v["label"]]).astype(np.int64), return_inverse=True)
     own, other = at[: len(u)], at[len(u) :]
-    label = np.arange(len(ids))
+    label = np.arange(len(names))
+    us, vs = u["sid"].to_numpy(), v["sid"].to_numpy()
     found: list[tuple[int, int]] = []
     for i in range(len(u) if len(v) else 0):
         js = np.flatnonzero(near(i))
         while len(js := js[label[other[js]] != label[own[i]]]):
-            found.append((int(u[i]), int(v[js[0]])))
+            found.append((int(us[i]), int(vs[js[0]])))
             label[label == label[other[js[0]]]] = label[own[i]]
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    pdf = pdf.drop_duplicates(["sid", "side"]).sort_values(["side", "sid"])
+    return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+
+
 def _sketch_links(percent: int, most: int):
-    """Spanning links of a block of a bucket, or between two blocks, whose sizes and sketches allow the threshold."""
+    """Links between a block of the few and one of all whose sizes and sketches allow the threshold."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = [p if len(p) else pdf for p in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])]
+        one, two = _sides(pdf)
+        if not len(one) or not len(two):
+            return _forest(one[:0], two[:0], None)
         a, b = [np.stack([np.asarray(x, np.int64) for x in p["sketch"]]).view(U) for p in (one, two)]
         na, nb = one["n"].to_numpy(), two["n"].to_numpy()
 
@@ -113,23 +124,13 @@ def _sketch_links(percent: int, most: int):
             far = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
             return (far <= most) & (np.minimum(na[i], nb) * 100 >= np.maximum(na[i], nb) * percent)
 
-        return _forest(one["sid"].to_numpy(), two["sid"].to_numpy(), near)
+        return _forest(one, two, near)
 
     return run
 
 
-def _blocks(members: DataFrame, size: int, group: str, *columns: str) -> DataFrame:
-    """Members of groups (their count c) dealt into blocks: a row for every pair of blocks that the member is in."""
-    k = F.ceil(F.col("c") / size)
-    return (
-        members.withColumn("k", k).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("k")))
-        .select("sid", group, *columns, "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-        .select("sid", group, *columns, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"))
-    )
-
-
 def _links(percent: int):
-    """Spanning links of a block, or between two blocks, confirmed on full sets."""
+    """Links between a block of the few and one of all, confirmed on full sets."""
 
     def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         both = np.intersect1d(np.concatenate(a), np.concatenate(b))
@@ -147,93 +148,146 @@ def _links(percent: int):
         return out.round().astype(np.int64)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["sid", "side"]).sort_values(["side", "sid"])
-        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        same = not len(two)
-        if same:
-            two = one
+        one, two = _sides(pdf)
+        if not len(one) or not len(two):
+            return _forest(one[:0], two[:0], None)
         a, b = [[np.asarray(x, np.int64) for x in p["items"]] for p in (one, two)]
-        u, v = one["sid"].to_numpy(), two["sid"].to_numpy()
-        if not len(a) or not len(b):
-            return _forest(u[:0], v[:0], None)
         inter = overlaps(a, b)
         na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
         linked = 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
-        return _forest(u, v, linked.__getitem__)
+        return _forest(one, two, linked.__getitem__)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Classes of documents linked by a Jaccard similarity of at least percent / 100.
-
-    Words are runs without white space, A-Z lower-cased; the set of a document is its distinct shingles
-    of so many words, or its whole sequence if it is shorter. Returns for each row of docs: doc_id,
-    n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id).
+def _few_by_all(members: DataFrame, group: str, size: int, *columns: str) -> DataFrame:
+    """Members (sid, label, few, n, group) dealt into blocks, so that each of the few meets every member of its group once.
 
-    Null or blank texts have no shingles and link with nothing. A null doc_id is reachable but never a
-    component's id unless all are null. Equal sets, and so repeated rows, form one node first. Other
-    columns are ignored. Steps: MinHash samples give band keys and, folded by parity, an odd sketch;
-    in each band the least set stands for its bucket, and XOR counts of sketches discard what cannot
-    reach the threshold; buckets with a set that their least one does not fit compare the sketches of
-    all their sets, in blocks; what stays connected is compared on full sets, in blocks, by exact
-    intersection sizes, and only spanning links leave a task.
+    Blocks hold about so many members and ITEMS shingles; the few of a group, which its main part
+    does not hold, decide how often the others are copied.
     """
+    many = lambda test, items: F.ceil(F.greatest(F.count_if(test) / size, items / ITEMS)).cast("int")
+    plan = members.groupBy(group).agg(many(F.col("few"), F.sum(F.when(F.col("few"), F.col("n")))).alias("p"), many(F.lit(True), F.sum("n")).alias("q")).where("p > 0")
+    rows = members.join(plan, group)
+    hashed, upto = (lambda k: F.pmod(F.xxhash64("sid"), F.col(k)).cast("int")), (lambda k: F.sequence(F.lit(0), F.col(k) - 1))
+    keep = ["sid", "label", "n", group, *columns]
+    one = rows.where("few").select(*keep, F.lit(0).alias("side"), hashed("p").alias("i"), F.explode(upto("q")).alias("j"))
+    return one.unionByName(rows.select(*keep, F.lit(1).alias("side"), F.explode(upto("p")).alias("i"), hashed("q").alias("j")))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, th (a hash of the text), n (shingles) and cls (a number of its class, null without shingles) of every row."""
     rows, bands = bands_for(percent)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sig = checkpoint(docs.mapInArrow(_signatures(words, rows, bands), "doc_id long, n long, sid long, bands array<long>, sketch array<long>"))
-    nodes = checkpoint(
-        sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    )
-    keys = nodes.select("sid", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("sid").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
+    sig = checkpoint(docs.mapInArrow(_signatures(words, rows, bands), "doc_id long, th long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"))
+    nodes = sig.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = checkpoint(nodes.withColumn("sid", F.monotonically_increasing_id()))
+    keys = nodes.select("sid", F.struct("s1", "s2", "sid").alias("s"), F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("s").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep.sid", "c").withColumnRenamed("sid", "rep")
     shared = checkpoint(keys.join(buckets, "key").select("key", "sid", "rep", "c"))
     pairs = shared.where("sid <> rep").select("sid", "rep").distinct()
     a, b = [nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("sid", "rep")]
     xor = F.aggregate(F.zip_with("s_sid", "s_rep", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = most_odd_bits(percent, rows * bands)
     fits = (F.least("n_sid", "n_rep") * 100 >= F.greatest("n_sid", "n_rep") * percent) & (xor <= most)
-    tested = checkpoint(pairs.join(a, "sid").join(b, "rep").select("sid", "rep", fits.alias("fits")))
-    # what its representative does not fit may still fit another member of the bucket
-    crowded = shared.where("c > 2").join(tested.where("not fits"), ["sid", "rep"], "left_semi").select("key").distinct()
-    rest = shared.join(crowded, "key", "left_semi").drop("rep").join(nodes.select("sid", "n", "sketch"), "sid")
-    more = _blocks(rest, SKETCHES, "key", "n", "sketch").groupBy("key", "i", "j").applyInPandas(_sketch_links(percent, most), "u long, v long")
-    near = checkpoint(tested.where("fits").select(F.col("sid").alias("u"), F.col("rep").alias("v")).union(more).distinct())
-    coarse = checkpoint(components(near))
-    sizes = coarse.groupBy("label").agg(F.count("*").alias("c"))
-    wanted = checkpoint(coarse.withColumnRenamed("id", "sid").join(nodes.select("sid", "doc"), "sid").join(sizes, "label")
-                        .select("sid", "label", "c", F.coalesce("doc", F.lit(_NO_ID)).alias("doc")))
-    ids = wanted.select(F.col("doc").alias("__id")).distinct()
-    some = with_ids(docs.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID))), ids, "left_semi")
-    sets = some.select("doc_id", "text").mapInArrow(_full_sets(words), "doc_id long, sid long, items array<long>").dropDuplicates(["sid"]).drop("doc_id")
-    full = wanted.drop("doc").join(sets, "sid")
-    full = _blocks(full, BLOCK, "label", "items")
-    links = full.groupBy("label", "i", "j").applyInPandas(_links(percent), "u long, v long")
-    labels = components(links)
-    named = labels.join(nodes.select(F.col("sid").alias("id"), "doc"), "id")
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_set = nodes.select("sid", F.col("doc").alias("own")).join(
-        labels.join(least, "label").select(F.col("id").alias("sid"), "component_id"), "sid", "left"
-    ).select("sid", F.coalesce("component_id", "own").alias("component_id"))
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(of_set, "sid", "left")
+    stars = checkpoint(pairs.join(a, "sid").join(b, "rep").where(fits).select("sid", "rep", xor.alias("xor")))
+
+    def sets(ids: DataFrame) -> DataFrame:
+        """(sid, items): the full sets of some nodes."""
+        some = ids.select("sid").distinct().join(nodes.select("sid", "s1", "s2", F.coalesce("doc", F.lit(_NO_ID)).alias("id")), "sid")
+        text = with_ids(docs.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))), some.select("id").distinct(), "left_semi")
+        full = text.select("text").mapInArrow(_full_sets(words), "s1 long, s2 long, items array<long>")
+        return full.join(some.drop("id"), ["s1", "s2"]).dropDuplicates(["sid"]).select("sid", "items")
+
+    def confirmed(links: DataFrame) -> DataFrame:
+        """Links (u, v) that hold on full sets. u is joined first, so that Spark can split a v that many links name."""
+        ends = sets(links.select(F.col("u").alias("sid")).union(links.select("v")))
+        both = links.join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v")
+        inter = F.size(F.array_intersect("a", "b"))
+        return checkpoint(both.where(inter * 100 >= (F.size("a") + F.size("b") - inter) * percent).select("u", "v"))
+
+    # each node with the representative nearest to it, then the others that this leaves apart
+    first = stars.groupBy("sid").agg(F.min(F.struct("xor", "rep")).alias("m")).select(F.col("sid").alias("u"), F.col("m.rep").alias("v"))
+    links = confirmed(first)
+    root = links.select(F.col("u").alias("x"), F.col("v").alias("r"))
+    up = lambda df, c: df.join(root, df[c] == root["x"], "left").withColumn(f"{c}_", F.coalesce("r", c)).drop("x", "r")
+    others = stars.select("sid", "rep").join(first.toDF("sid", "rep"), ["sid", "rep"], "left_anti")
+    others = up(up(up(others, "sid"), "rep").drop("x"), "rep_")
+    others = checkpoint(others.where("sid_ <> rep_ and sid_ <> rep__").select(F.col("sid").alias("u"), F.col("rep").alias("v")))
+    if others.take(1):
+        links = links.union(confirmed(others))
+    exact = checkpoint(components(links))
+
+    def labelled(df: DataFrame, labels: DataFrame, c: str = "sid", name: str = "label") -> DataFrame:
+        return df.join(labels.select(F.col("id").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+
+    # what is not linked with its representative may still be with another member of the bucket
+    rest = labelled(labelled(shared.where("c > 2"), exact), exact, "rep", "main").withColumn("few", F.col("label") != F.col("main"))
+    crowded = rest.where("few").select("key").distinct()
+    rest = rest.join(crowded, "key", "left_semi").select("key", "sid", "label", "few").join(nodes.select("sid", "n", "sketch"), "sid")
+    more = _few_by_all(rest, "key", SKETCHES, "sketch").groupBy("key", "i", "j").applyInPandas(_sketch_links(percent, most), "u long, v long")
+    more = checkpoint(more.distinct())
+    if more.take(1):
+        over = lambda e, labels: labelled(labelled(e, labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        coarse = checkpoint(components(over(more, exact)))
+        links = links.union(confirmed(more))
+        exact = checkpoint(components(links))
+        # groups that sketches connect and full sets so far don't
+        heads = labelled(coarse.select(F.col("id").alias("sid"), F.col("label").alias("grp")), exact).select("label", "grp").distinct()
+        parts = labelled(nodes.select("sid", "n"), exact).join(heads, "label")
+        weights = parts.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1")
+        parts = checkpoint(parts.join(weights.select("grp", F.col("m.label").alias("main")), "grp").select("grp", "sid", "label", "n", (F.col("label") != F.col("main")).alias("few")))
+        full = _few_by_all(parts.join(sets(parts), "sid"), "grp", BLOCK, "items")
+        links = links.union(checkpoint(full.groupBy("grp", "i", "j").applyInPandas(_links(percent), "u long, v long")))
+        exact = checkpoint(components(links))
+    out = sig.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(labelled(nodes.select("s1", "s2", "sid"), exact), ["s1", "s2"], "left")
+    return out.select("doc_id", "th", "n", F.col("label").alias("cls"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of at least percent / 100.
+
+    Words are runs without white space, A-Z lower-cased; the set of a document is its distinct shingles
+    of so many words, or its whole sequence if it is shorter. Returns for each row of docs: doc_id,
+    n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id).
+
+    Null or blank texts have no shingles and link with nothing. A null doc_id is reachable but never a
+    component's id unless all are null. Equal sets (by 128 bits), and so repeated rows, form one node first.
+    Other columns are ignored.
+
+    Steps: MinHash samples give band keys and, folded by parity, an odd sketch. In each band the least
+    set stands for its bucket; XOR counts of sketches discard what cannot reach the threshold, and the
+    rest of these pairs is confirmed on full sets. Only the members of a bucket that this leaves apart from
+    its representative are compared with all the others, first by sketches; the links that these
+    suggest are confirmed, and what is still in parts is compared on full sets, in blocks.
+    """
+    rows = checkpoint(_classes(docs, words, percent))
+    least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return rows.join(least, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
+    )
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without all but one document of each class; columns stay as they are.
+    """The rows of docs without all but one row of each class; columns stay as they are.
 
-    Blank documents stay. Of rows that repeat one doc_id within a class, one stays. Rows without a
-    doc_id stay, as nothing names them.
+    The row with the least doc_id stays; a null doc_id only where all are null. Rows are told apart by
+    doc_id and text, so a repeated doc_id with another text is judged by itself. Rows without shingles stay.
     """
-    found = checkpoint(near_duplicates(docs, words, percent))
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    twice = checkpoint(found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    rest = with_ids(docs, gone, "left_anti")
+    found = checkpoint(_classes(docs, words, percent))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "th")
+    rows = found.where("cls is not null").select("cls", name.alias("name"))
+    keep = rows.groupBy("cls").agg(F.min("name").alias("keep"))
+    rows = checkpoint(rows.join(keep, "cls").groupBy("name").agg(F.first(F.col("name") == F.col("keep")).alias("kept"), F.count("*").alias("n")))
+    gone, twice = rows.where("not kept").select("name.id", "name.th"), rows.where("kept and n > 1").select("name.id", "name.th")
+    # the whole row in one column, so that no name can clash
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    rest = with_ids(every, gone, "left_anti")
     n = twice.count()
-    if not n:
-        return rest
-    return with_ids(rest, twice, "left_anti", n).unionByName(with_ids(rest, twice, "left_semi", n).dropDuplicates(["doc_id"]))
+    if n:
+        rest = with_ids(rest, twice, "left_anti", n).unionByName(with_ids(rest, twice, "left_semi", n).dropDuplicates(["id", "th"]))
+    return rest.select("row.*")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The training-data operators on odd inputs, against brute force and round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -190,20 +192,63 @@ def test_language_on_held_out_and_odd_texts(spark, none):
     assert {x.lang_pred for x in language.identify(df, language.learn(none)).collect()} == {"und"}
 
 
-def test_code_lengths_are_escapes_of_counts():
-    import pandas as pd
-
-    text = b"abab"
-    data = np.frombuffer(text, np.uint8)
-    codes, n = np.unique(language._contexts(language._CLASS[data], np.array([0, 4]), 32, 256), return_counts=True)
-    model = language.Model(pd.DataFrame({"lang": "q", "code": codes, "n": n}))
-    assert model.base == 4  # blank, a, b and the rest
-    bits = model.code_lengths()[:, 0]
-    a, b, blank = model.symbol[97], model.symbol[98], model.symbol[32]
-    at = lambda *s: bits[sum(int(x) * 4 ** (3 - i) for i, x in enumerate(s))]
-    assert at(blank, blank, blank, a) == pytest.approx(1)  # seen once, one kind: 1 / 2
-    # "bab" was never a context: of "ab" and "b", seen once each with a next, only those of "ab" and "a" pass on
-    assert at(b, a, b, a) == pytest.approx(at(blank, a, b, a))
+def brute_bits(texts, text):
+    """Bits of a text after frozen statistics of others, byte by byte, by escapes of method C."""
+    counts = {}
+    for t in texts:
+        t = b"   " + t
+        for i in range(3, len(t)):
+            for k in range(4):
+                counts.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    total, t = 0.0, b"   " + text
+    for i in range(3, len(t)):
+        for k in range(3, -2, -1):
+            if k < 0:
+                total += 8
+                break
+            seen = counts.get(t[i - k : i])
+            if not seen:
+                continue
+            n, d = sum(seen.values()), len(seen)
+            if t[i] in seen:
+                total -= math.log2(seen[t[i]] / (n + d))
+                break
+            total -= math.log2(d / (n + d))
+    return total
+
+
+def test_code_lengths_equal_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    alphabets = {f"l{i:02d}": "abcdefghijklmnopqrstuvwxyzäöüéèабвгд 你好"[i : i + 12] for i in range(25)}
+    rows = [(i * 10 + k, "".join(r.choices(a, k=80)), lang) for i, (lang, a) in enumerate(alphabets.items()) for k in range(3)]
+    monkeypatch.setattr(language, "GROUP", 8)
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = {x: [t.encode() for i, t, lang in rows if lang == x and zlib.crc32(str(i).encode()) % 3 != 1] for x in model.langs}
+    assert len(model.langs) > 20
+    texts = [rows[0][1], rows[40][1], "never SEEN Ж 好 12", "", "x" * 70_000]
+    bits, _ = language._score(model, language.pa.array(texts))
+    for i, t in enumerate(texts[:4]):
+        assert bits[i].tolist() == pytest.approx([brute_bits(learned[x], t.encode()) for x in model.langs], rel=1e-5)
+
+
+def test_language_of_repeats_long_texts_and_many_labels(spark):
+    rows = [(7, "the same text again and again", "aa")] * 2000 + [(8, "der gleiche text noch einmal " * 20_000, "bb")] + [(100 + i, f"word{i} und", f"x{i:04d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df, per_language=5, languages=20)
+    assert len(model.langs) == 20 and model.langs[0] == "aa"
+    assert model.n[model.lang == 0].sum() == len(rows[0][1])  # equal rows count once
+    got = {x.doc_id: x.lang_pred for x in language.identify(df, model).where("doc_id < 100").collect()}
+    assert got[7] == "aa" and got[8] in model.langs
+
+
+def test_unknown_languages_are_rejected(spark):
+    r = random.Random(12)
+    rows = [(i, prose(80, i), "en") for i in range(60)]
+    noise = "".join(map(chr, range(33, 127))) + "äöüßéабвгд"
+    bad = [(1000, None, "en"), (1001, "", "en"), (1002, "12 34", "en"), (1003, "".join(r.choices(noise, k=500)), None), (1004, "".join(r.choices("бвгджзклмн ", k=500)), None)]
+    df = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string").withColumn("row", F.lit(1)).withColumn("p", F.lit("clash"))
+    out = language.reject_unknown(df, language.learn(df.where("doc_id < 1000")))
+    assert out.columns == df.columns and {x.doc_id for x in out.collect()} == set(range(60))
 
 
 def test_shards_are_contiguous_balanced_and_gapless(docs, none):
