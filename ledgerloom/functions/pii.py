@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -38,3 +38,19 @@ def outcome(field: Column, value: Column, kind: Column) -> Column:
     return F.when(field.isin(plain), F.concat(field, F.lit("="), value)).when(
         kind == "str", F.concat(field, F.lit("='"), redact(value, limit=MAX_SNIPPET), F.lit("'"))
     ).otherwise(F.concat(field, F.lit("=<"), kind, F.lit(">")))
+
+
+def violation(outcome_: Column, notes: Column, kinds=tuple(PATTERNS)) -> Column:
+    """What forbids an event of a trace to be stored, or null: sensitive data in its outcome or notes, or too long an outcome."""
+    start = lambda c: F.concat(F.substring(c, 1, MAX_SNIPPET), F.lit("..."))
+    return F.when(is_sensitive(outcome_, kinds), F.concat(F.lit("Sensitive data in outcome: "), start(outcome_))).when(
+        is_sensitive(notes, kinds), F.concat(F.lit("Sensitive data in notes: "), start(notes))
+    ).when(F.length(outcome_) > MAX_TEXT, F.concat(F.lit("Outcome exceeds max length: "), F.length(outcome_).cast("string")))
+
+
+def gate(events: DataFrame, strict: bool = True, kinds=tuple(PATTERNS)) -> DataFrame:
+    """(run_id, is_valid, violations) of traces of events (run_id, seq, outcome, notes); strict: only the first violation is told."""
+    found = events.select("run_id", F.struct("seq", violation(F.col("outcome"), F.col("notes"), kinds).alias("said")).alias("v"))
+    bad = F.when(F.col("v.said").isNotNull(), F.col("v"))
+    told = F.array_compact(F.array(F.min(bad))) if strict else F.array_sort(F.collect_list(bad))
+    return found.groupBy("run_id").agg((F.count(bad) == 0).alias("is_valid"), F.transform(told, lambda x: x["said"]).alias("violations"))

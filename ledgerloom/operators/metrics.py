@@ -27,3 +27,15 @@ def accuracy(feedback: DataFrame) -> DataFrame:
 
 def calibration(n: Column, target: int) -> Column:
     return F.least(F.lit(1.0), n / F.lit(float(target)))
+
+
+def list_stats(proposals: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Counters of the list of proposals and ledger rows; restrict the ledger to an owner before."""
+    live = F.col("deleted_at").isNull()
+    states = {s.lower(): F.col("status") == s for s in ("PENDING", "ACCEPTED", "REJECTED", "AUTO_MATCHED")}
+    return counts(proposals, **states).union(counts(ledger, unlinked=live & (F.col("match_status") == "UNMATCHED"), soft_deleted=~live))
+
+
+def latest_version(applied: DataFrame) -> DataFrame:
+    """The highest version of a log of applied changes (version); 0 without any."""
+    return applied.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))

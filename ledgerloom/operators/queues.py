@@ -15,6 +15,12 @@ def latest(df: DataFrame, key: str, by: str, tie: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def last_imports(imports: DataFrame) -> DataFrame:
+    """(external_id, import_status): the newest import of each id, so that joins with it don't fan out."""
+    last = F.max_by("status", F.struct("created_at", "import_id"))
+    return imports.where("external_id is not null").groupBy("external_id").agg(last.alias("import_status"))
+
+
 def importable(extractions: DataFrame, linkage: DataFrame, imports: DataFrame, links=("LINKED", "ORPHAN"), need_ledger_id: bool = False, auto_only: bool = False) -> DataFrame:
     """Extractions that may be imported: accepted or automatic, linked, and not imported yet or failed."""
     ok = F.col("review_state") == "AUTO"
@@ -24,7 +30,7 @@ def importable(extractions: DataFrame, linkage: DataFrame, imports: DataFrame, l
     if need_ledger_id:
         link = link & ((F.col("link_type") != "LINKED") | F.col("linked_ledger_id").isNotNull())
     e = extractions.join(linkage.select(F.col("extraction_id").alias("id"), "link_type", F.col("ledger_id").alias("linked_ledger_id")), "id")
-    e = e.join(imports.select("external_id", F.col("status").alias("import_status")), "external_id", "left")
+    e = e.join(last_imports(imports), "external_id", "left")
     return e.where(F.coalesce(ok, F.lit(False)) & link & (F.col("import_status").isNull() | (F.col("import_status") == "FAILED")))
 
 
@@ -40,7 +46,8 @@ def unmatched(ledger: DataFrame, user: int | None = None) -> DataFrame:
 
 
 def review_queue(extractions: DataFrame) -> DataFrame:
-    return extractions.where("review_state in ('REVIEW', 'MANUAL') and review_decision is null")
+    """Extractions to review, oldest first."""
+    return extractions.where("review_state in ('REVIEW', 'MANUAL') and review_decision is null").orderBy("created_at", "id")
 
 
 def eligible(extractions: DataFrame, imports: DataFrame, approved=ACCEPTING) -> DataFrame:
@@ -83,6 +90,17 @@ def schedule(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(["document_id"]).join(active, "document_id", "left_anti")
 
 
+def runs_of(runs: DataFrame, document_id: int) -> DataFrame:
+    """All runs of a document, newest first."""
+    return runs.where(F.col("document_id") == document_id).orderBy(F.desc("created_at"), F.desc("job_id"))
+
+
+def import_queue(extractions: DataFrame, linkage: DataFrame, imports: DataFrame, **settings) -> DataFrame:
+    """importable(), each with the side it stands on: failed before, or ready."""
+    rows = importable(extractions, linkage, imports, **settings)
+    return rows.withColumn("side", F.when(F.col("import_status") == "FAILED", "failed").otherwise("ready"))
+
+
 def failed(status: Column, retries: Column, most: Column) -> tuple[Column, Column]:
     """Status and retry count after a failure: pending again while retries are left."""
     again = retries < most
@@ -92,7 +110,7 @@ def failed(status: Column, retries: Column, most: Column) -> tuple[Column, Colum
 def unified(extractions: DataFrame, linkage: DataFrame, imports: DataFrame) -> DataFrame:
     """Every extraction with its link, import and derived flags."""
     e = extractions.join(linkage.select(F.col("extraction_id").alias("id"), "link_type"), "id", "left")
-    e = e.join(imports.select("external_id", F.col("status").alias("import_status")), "external_id", "left")
+    e = e.join(last_imports(imports), "external_id", "left")
     link = F.coalesce("link_type", F.lit("PENDING"))
     linked, orphan = link.isin("LINKED", "AUTO_LINKED"), link == "ORPHAN"
     decided = (F.col("review_state") == "AUTO") | F.coalesce(F.col("review_decision").isin(*ACCEPTING), F.lit(False))
@@ -101,3 +119,14 @@ def unified(extractions: DataFrame, linkage: DataFrame, imports: DataFrame) -> D
         (F.col("review_state").isin("REVIEW", "MANUAL") & F.col("review_decision").isNull()).alias("needs_review"),
         (decided & (linked | orphan) & (F.coalesce("import_status", F.lit("FAILED")) == "FAILED")).alias("ready_for_import"),
     )
+
+
+def unified_page(rows: DataFrame, limit: int = 100) -> DataFrame:
+    """The first rows of unified(): what needs a link, then the newest."""
+    return rows.orderBy(F.desc("needs_linking"), F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def unified_counts(rows: DataFrame) -> DataFrame:
+    """How many rows of unified() carry each flag."""
+    flags = ("needs_linking", "is_linked", "is_orphan", "is_auto", "needs_review", "ready_for_import")
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(c)).alias(c) for c in flags])

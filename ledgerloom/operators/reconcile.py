@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import matching
 from .queues import unmatched
+from .sync import upsert
 
 
 @dataclass
@@ -39,6 +40,44 @@ def run(docs: DataFrame, ledger: DataFrame, known: DataFrame, pending: DataFrame
     return Run(proposals, links, audit)
 
 
+@dataclass
+class Outcome:
+    """What a whole run leaves behind: the ledger, the open proposals, the audit rows, and counters (metric, n)."""
+
+    ledger: DataFrame
+    proposals: DataFrame
+    audit: DataFrame
+    counters: DataFrame
+
+
+#: Columns of a ledger row that matching owns; a sync never touches them.
+MATCH_COLUMNS = ("match_status", "document_id")
+
+
+def reconcile(ledger: DataFrame, fetched: DataFrame, docs: DataFrame, known: DataFrame, pending: DataFrame, full_sync: bool = False, dry_run: bool = False, skip_sync: bool = False, **settings) -> Outcome:
+    """Sync, propose and link: fetched rows go into the ledger, then run() and apply_links().
+
+    full_sync: the ledger is what was fetched; else fetched rows are merged into it, and keep what they are
+    matched to. skip_sync: the ledger stays as it is. dry_run: all is counted, but ledger and proposals stay.
+    ledger and fetched have the same columns but for MATCH_COLUMNS.
+    """
+    source = [c for c in ledger.columns if c not in ("ledger_id", *MATCH_COLUMNS)]
+    now = ledger
+    if not skip_sync:
+        old = ledger.limit(0) if full_sync else ledger
+        now = upsert(old, fetched.select("ledger_id", *source), ["ledger_id"], source, list(MATCH_COLUMNS)).drop("change")
+        now = now.withColumn("match_status", F.coalesce("match_status", F.lit("UNMATCHED"))).select(ledger.columns)
+    done = run(docs, now, known, pending, **settings)
+    synced = F.lit(0).cast("long") if skip_sync else F.count("*")
+    one = lambda name, df, n=None: df.agg((F.count("*") if n is None else n).alias("n")).select(F.lit(name).alias("metric"), F.col("n").cast("long").alias("n"))
+    counters = one("transactions_synced", fetched, synced).unionByName(one("proposals_created", done.proposals)).unionByName(one("auto_linked", done.links))
+    every = pending.select("document_id", "ledger_id", "total").unionByName(done.proposals.select("document_id", "ledger_id", "total")).withColumn("status", F.lit("PENDING"))
+    if dry_run:
+        return Outcome(ledger, pending.select("document_id", "ledger_id", "total").withColumn("status", F.lit("PENDING")), done.audit.limit(0), counters)
+    proposals, after = apply_links(every, now, done.links)
+    return Outcome(after, proposals, done.audit, counters)
+
+
 def apply_links(proposals: DataFrame, ledger: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Proposals and ledger after links: accepted pairs, other open proposals of their transactions rejected."""
     pair = links.select("document_id", "ledger_id", F.lit(True).alias("__pair"))

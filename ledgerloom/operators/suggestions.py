@@ -190,3 +190,18 @@ def whitelisted(value: Column, allowed: Column) -> Column:
 
 def feedback(suggested: Column, actual: Column) -> Column:
     return F.when(norm(suggested) == norm(actual), "CORRECT").otherwise("WRONG")
+
+
+def allowed_suggestion(field: Column, value: Column, categories: Column, currencies: Column, accounts: Column, transactions: Column) -> Column:
+    """Whether a suggested value of a field may be kept.
+
+    Categories and types must be known; currencies, source accounts and existing transactions only where
+    some are given (arrays of text), and `create_new` always stands for no transaction. Other fields are free.
+    """
+    known = lambda c: (F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0) | F.array_contains(c, value)
+    ok = (
+        F.when(field == "category", F.array_contains(categories, value)).when(field == "transaction_type", value.isin("withdrawal", "deposit", "transfer"))
+        .when(field == "currency", known(currencies)).when(field == "source_account", known(accounts))
+        .when(field == "existing_transaction", (value == "") | (value == "create_new") | known(transactions)).otherwise(True)
+    )
+    return F.coalesce(ok, F.lit(False)) & value.isNotNull()

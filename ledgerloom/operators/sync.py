@@ -68,3 +68,27 @@ def import_preview(shared: DataFrame, own: DataFrame) -> DataFrame:
 
 def live_cache(cache: DataFrame, now: Column) -> DataFrame:
     return cache.where(F.col("expires_at") > now)
+
+
+def cache_put(cache: DataFrame, answers: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """cache (cache_key, model, prompt_version, taxonomy_version, response_json, created_at, expires_at, hit_count) with answers stored for so many days.
+
+    An answer to a key that is there replaces its text and times; either way its hits begin at one.
+    """
+    new = answers.select("cache_key", "model", "prompt_version", "taxonomy_version", "response_json").withColumns(
+        {"created_at": now, "expires_at": now + F.expr(f"INTERVAL {days} DAYS"), "hit_count": F.lit(1)})
+    return upsert(cache, new, ["cache_key"], ["response_json", "created_at", "expires_at", "hit_count"], ["model", "prompt_version", "taxonomy_version"]).drop("change").select(cache.columns)
+
+
+def cache_get(cache: DataFrame, asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """What the cache holds for asked keys (cache_key), and the cache with a hit more for each time that a live one was asked for."""
+    times = asked.groupBy("cache_key").agg(F.count("*").alias("__times"))
+    hit = cache.join(times, "cache_key", "left")
+    live = (F.col("expires_at") > now) & F.col("__times").isNotNull()
+    found = hit.where(live).select("cache_key", "response_json")
+    return found, hit.withColumn("hit_count", F.col("hit_count") + F.when(live, F.col("__times")).otherwise(0)).drop("__times")
+
+
+def cache_purge(cache: DataFrame, now: Column) -> DataFrame:
+    """The cache without what has expired."""
+    return cache.where(F.col("expires_at") >= now)

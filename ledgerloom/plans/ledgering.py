@@ -8,6 +8,7 @@ from ..functions import pii
 from ..operators import payloads as P
 from ..operators import reconcile as R
 from ..operators import suggestions as S
+from ..operators.sync import live_cache
 from ..sources.views import duckdb_views, spark_views
 from .linking import LIVE, all_pairs
 
@@ -60,7 +61,8 @@ def json_repair(spark, sf_dir):
 def llm_cache_valid(spark, sf_dir):
     j, = spark_views(spark, sf_dir, "job")
     key = S.cache_key(F.col("event_type"), F.when(F.col("job_id") % 2 == 0, F.col("document_id")), F.lit("v1"))
-    return j.where(F.col("created_at") > F.lit("2024-01-15").cast("timestamp")).select("job_id", key.alias("cache_key"))
+    cache = j.select("job_id", key.alias("cache_key"), (F.col("created_at") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+    return live_cache(cache, F.lit("2024-02-14").cast("timestamp")).select("job_id", "cache_key")
 
 
 def auto_apply(spark, sf_dir):

@@ -97,7 +97,8 @@ def old_jobs(spark, sf_dir):
 
 def jobs_to_schedule(spark, sf_dir):
     j, = spark_views(spark, sf_dir, "job")
-    return Q.schedule(j, j.select("document_id"))
+    o, = spark_views(spark, sf_dir, "orders")
+    return Q.schedule(j, o.select(F.col("o_orderkey").alias("document_id")).union(j.select("document_id")))
 
 
 def job_failures(spark, sf_dir):
@@ -189,7 +190,7 @@ ORACLE_SQL = {
     "jobs_list": duckdb_views("job") + "SELECT job_id, status FROM job ORDER BY CASE status WHEN 'PROCESSING' THEN 0 WHEN 'PENDING' THEN 1 WHEN 'FAILED' THEN 2 WHEN 'COMPLETED' THEN 3 ELSE 4 END, priority DESC, job_id LIMIT 50 OFFSET 100",
     "fair_pick": duckdb_views("job") + """SELECT user_id, job_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, job_id) AS k FROM job WHERE status = 'PENDING' AND user_id % 3 <> 0 AND user_id + 1 <= 6) WHERE k = 1""",
     "old_jobs": duckdb_views("job") + "SELECT job_id FROM job WHERE status IN ('COMPLETED', 'FAILED', 'CANCELLED') AND completed_at < TIMESTAMP '2024-01-15'",
-    "jobs_to_schedule": duckdb_views("job") + "SELECT DISTINCT document_id FROM job WHERE document_id NOT IN (SELECT document_id FROM job WHERE status IN ('PENDING', 'PROCESSING'))",
+    "jobs_to_schedule": duckdb_views("job") + "SELECT document_id FROM (SELECT o_orderkey AS document_id FROM orders UNION SELECT document_id FROM job) WHERE document_id NOT IN (SELECT document_id FROM job WHERE status IN ('PENDING', 'PROCESSING'))",
     "job_failures": duckdb_views("job") + "SELECT job_id, CASE WHEN retry_count < max_retries THEN 'PENDING' ELSE 'FAILED' END AS status, CASE WHEN retry_count < max_retries THEN retry_count + 1 ELSE retry_count END AS retry_count FROM job WHERE status = 'PROCESSING'",
     "unified_review": duckdb_views(*THREE) + f"""SELECT id, e.document_id, review_state, coalesce(link_type, 'PENDING') = 'PENDING' AS needs_linking, coalesce(link_type IN ('LINKED', 'AUTO_LINKED'), false) AS is_linked, coalesce(link_type = 'ORPHAN', false) AS is_orphan,
       coalesce(link_type = 'AUTO_LINKED', false) AS is_auto, review_state IN ('REVIEW', 'MANUAL') AND review_decision IS NULL AS needs_review,

@@ -64,3 +64,30 @@ def append_note(notes: Column, text: Column) -> Column:
 
 def set_once(old: Column, new: Column) -> Column:
     return F.coalesce(F.nullif(old, F.lit("")), new)
+
+
+def with_names(df: DataFrame, correspondents: DataFrame, document_types: DataFrame, tags: DataFrame) -> DataFrame:
+    """Documents with correspondent, document_type and tags as names instead of ids (correspondent_id, document_type_id, tag_ids).
+
+    Catalogs hold id and name. Unknown ids give null, and unknown tags are left out; tags keep their order.
+    """
+    for table, column in ((correspondents, "correspondent"), (document_types, "document_type")):
+        df = df.join(table.select(F.col("id").alias(f"{column}_id"), F.col("name").alias(column)), f"{column}_id", "left")
+    each = df.select("id", F.posexplode("tag_ids").alias("at", "tag_id")).join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    named = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("tags"))
+    return df.join(named, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def holding_external_id(splits: DataFrame, ids: DataFrame) -> DataFrame:
+    """All splits of the groups of which one carries an external_id of ids."""
+    return splits.join(splits.join(ids.select("external_id").distinct(), "external_id", "left_semi").select("group_id").distinct(), "group_id", "left_semi")
+
+
+def updated(ledger: DataFrame, changes: DataFrame) -> DataFrame:
+    """ledger (ledger_id, notes, external_id, ...) after changes (ledger_id, note, external_id): notes are appended, ids set only where none is.
+
+    Of several changes of one row, notes count in their order, and so does the first id.
+    """
+    once = changes.groupBy("ledger_id").agg(F.array_join(F.array_sort(F.collect_set("note")), "\n").alias("__note"), F.min("external_id").alias("__id"))
+    out = ledger.join(once, "ledger_id", "left")
+    return out.withColumn("notes", F.when(F.coalesce("__note", F.lit("")) == "", F.col("notes")).otherwise(append_note(F.col("notes"), F.col("__note")))).withColumn("external_id", set_once(F.col("external_id"), F.col("__id"))).drop("__note", "__id")
