@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -11,11 +12,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Weights of terms. A url is rejected at LIMIT: by one strict term or by several distinct soft ones.
-STRICT = "adult casino cialis escort hentai malware phishing porn sexcam spam viagra warez xxx".split()
-SOFT = "ad ads bet bets bonus cheap click crack deals dating download farm free hot keygen loan nude pills poker promo sex torrent track tracker win".split()
-LIMIT = 2
-VOCABULARY = dict.fromkeys(SOFT, 1) | dict.fromkeys(STRICT, LIMIT)
+#: Weights of terms. A url is rejected at LIMIT: by one strict term, by two distinct soft ones, or by four distinct weak ones.
+LIMIT = 4
+STRICT = (
+    "adult bdsm bitcoin-doubler blackjack camgirl camgirls casino cialis crackz erotic escort escorts fetish gangbang hardcore hentai keygens levitra malware milf phishing porn porno pornhub "
+    "ransomware roulette serialz sexcam sexshop slots spam spyware sportsbook stripper tramadol trojan viagra warez xanax xvideos xxx"
+).split()
+SOFT = (
+    "bet bets betting bingo bonus cheap crack cracked crypto dating diet download farm gambling hack hacks hot jackpot keygen leaked loan loans lottery naked nude nudes payday "
+    "pharmacy pills poker promo replica sex sexy singles torrent torrents unlock wagering"
+).split()
+WEAK = "ad ads affiliate buy click coupon deal deals discount free gift offer popup redirect sale sponsor track tracker tracking win winner".split()
+VOCABULARY = dict.fromkeys(WEAK, LIMIT // 4) | dict.fromkeys(SOFT, LIMIT // 2) | dict.fromkeys(STRICT, LIMIT)
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 RULES = (
     ("com", "/en/", "block"),
@@ -44,19 +52,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+@lru_cache(4)
+def _automaton(words: tuple[tuple[str, int], ...]) -> ahocorasick.Automaton:
+    """One automaton for each vocabulary and Python worker."""
+    out = ahocorasick.Automaton()
+    for term, weight in words:
+        out.add_word(term, (term, weight))
+    out.make_automaton()
+    return out
+
+
 def term_hits(url: Column, vocabulary: dict[str, int] | None = None, limit: int = LIMIT) -> Column:
     """A struct of weight, strict_hits and soft_hits: the distinct terms of a url, once each.
 
     A term counts where neither neighbour is an ASCII letter or digit; A-Z count as a-z. One automaton
     finds all terms in one pass. A null url holds none.
     """
-    words = VOCABULARY if vocabulary is None else vocabulary
+    words = tuple(sorted((VOCABULARY if vocabulary is None else vocabulary).items()))
 
     def scan(urls: pa.Array) -> pa.Array:
-        automaton = ahocorasick.Automaton()
-        for term, weight in words.items():
-            automaton.add_word(term, (term, weight))
-        automaton.make_automaton()
+        automaton = _automaton(words)
         fold = str.maketrans(_UPPER, _LOWER)
         plain = frozenset(_LOWER + "0123456789")
         rows = []
@@ -112,9 +127,9 @@ WITH parts AS (
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
          translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') AS low
   FROM pages),
-hits AS (SELECT *, {_count(STRICT)} AS strict_hits, {_count(SOFT)} AS soft_hits FROM parts)
+hits AS (SELECT *, {_count(STRICT)} AS strict_hits, {_count(SOFT)} AS medium, {_count(WEAK)} AS weak FROM parts)
 SELECT page_id, host, path, {_fits(lambda h, p, v: h + p)} AS rule,
-       coalesce({_fits(lambda h, p, v: v)}, CASE WHEN strict_hits * {LIMIT} + soft_hits >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       CAST(strict_hits AS INT) AS strict_hits, CAST(soft_hits AS INT) AS soft_hits
+       coalesce({_fits(lambda h, p, v: v)}, CASE WHEN strict_hits * {LIMIT} + medium * {LIMIT // 2} + weak * {LIMIT // 4} >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(strict_hits AS INT) AS strict_hits, CAST(medium + weak AS INT) AS soft_hits
 FROM hits
 """
