@@ -14,8 +14,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, EPOCHS = 1.5, 2
 #: Words of a block of the schedule.
 BLOCK = 1024
-#: Hash ranges of a source, and slots of a range of the schedule, that are summed by themselves.
-RANGES, SLOTS = 64, 1 << 14
+#: Documents of a hash range of a source, about, and slots of a range of the schedule, that are summed by themselves.
+RANGE, SLOTS = 1 << 16, 1 << 14
 #: Cells of the unit interval in which points look up their source.
 CELLS = 4096
 _GOLDEN = 0.6180339887498949
@@ -69,26 +69,29 @@ def schedule(sources: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, seed: int = 0, **settings) -> tuple[DataFrame, DataFrame]:
     """The mix of docs: (rows, pieces).
 
-    rows: doc_id, source, size (words), source_size, target, start (the place of its first word in the
-    source's shuffled stream). pieces: source, slot, block, start, doc_id, epoch, first_word, n_words - the words
-    that each slot of the schedule reads.
+    rows: doc_id, source, size (words), th (a hash of the text), source_size, target, start (the place of its first
+    word in the source's shuffled stream). pieces: source, slot, block, start, doc_id, epoch, first_word, n_words -
+    the words that each slot of the schedule reads.
 
-    A source's stream is its documents by a hash of doc_id, read as often as its target asks and cut
-    into blocks of BLOCK words, the last one at the target. A null text has no words and is never taken.
-    A null source is a source and comes last. Rows equal in doc_id and size are interchangeable. An
-    empty table gives empty frames. Other columns are ignored; reruns agree.
+    A source's stream is its documents by a hash of doc_id and text, read as often as its target asks and
+    cut into blocks of BLOCK words, the last one at the target. A null text has no words and is never
+    taken. A null doc_id is an id like others. A null source is a source and comes last. Rows equal in
+    doc_id, source and text are interchangeable. An empty table gives empty frames. Other columns are
+    ignored; reruns agree.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.select("*", mixed.alias("mixed"), F.shiftrightunsigned(mixed, 64 - RANGES.bit_length() + 1).alias("range"))
-    # equal rows are counted first, so that repeats of one doc_id load no range
-    rows = rows.groupBy("source", "range", "mixed", "doc_id", "size").agg(F.count("*").alias("n")).select("*", (F.col("n") * F.col("size")).alias("words"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("th"))
+    # equal rows are counted first, so that repeats of one document load no range
+    rows = checkpoint(rows.groupBy("source", "doc_id", "size", "th").agg(F.count("*").alias("n")))
+    bits = min(20, max(4, (rows.count() // RANGE).bit_length()))
+    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("th"))
+    rows = rows.select("*", mixed.alias("mixed"), F.shiftrightunsigned(mixed, 64 - bits).alias("range"), (F.col("n") * F.col("size")).alias("words"))
     # a range is ordered by the signed hash within, and ranges by the unsigned one: any fixed order will do
-    rows = checkpoint(running_totals(rows, ["source", "range"], [F.col("mixed"), F.col("doc_id"), F.col("size")], {"start": "words"}, within=["source"]))
+    rows = checkpoint(running_totals(rows, ["source", "range"], [F.col("mixed"), F.col("doc_id"), F.col("th")], {"start": "words"}, within=["source"]))
     sums = checkpoint(targets(rows.groupBy("source").agg(F.sum("words").alias("source_size")), **settings).withColumn("words", F.floor("target")).withColumn("blocks", F.ceil(F.col("words") / BLOCK)))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("start", F.col("start") + F.col("k") * F.col("size"))
     s = sums.select(F.col("source").alias("__s"), "source_size", "target", F.col("words").alias("goal"))
-    rows = rows.join(s, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "size", "source_size", "target", "goal", "start")
+    rows = rows.join(s, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "size", "th", "source_size", "target", "goal", "start")
     epochs = int(settings.get("epochs", EPOCHS))
     spans = rows.where("size > 0").select("doc_id", "source", "size", "goal", "start", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("epoch"), "source_size")
     spans = spans.withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("goal"))).where("a < b")
@@ -102,23 +105,36 @@ def mixture(docs: DataFrame, seed: int = 0, **settings) -> tuple[DataFrame, Data
     return rows, pieces
 
 
-def taken(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row: the words that the mix reads of it."""
+def _taken(docs: DataFrame, **settings) -> DataFrame:
     rows, pieces = mixture(docs, **settings)
     got = pieces.groupBy(F.col("source").alias("__s"), F.col("start").alias("__t")).agg(F.sum("n_words").alias("got"))
     out = rows.join(got, F.col("source").eqNullSafe(F.col("__s")) & (F.col("start") == F.col("__t")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "th", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+
+
+def taken(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row: the words that the mix reads of it."""
+    return _taken(docs, **settings).drop("th")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """docs with each row repeated as often as the mix reads its words, to the nearest whole number.
 
-    A row of which less than half its words is read goes. Columns stay.
+    Rows are told apart by doc_id (null too), source and text, so no row is taken for another, and none more
+    than `epochs` times. A row of which less than half its words is read goes, as do null and blank texts.
+    Columns stay.
     """
-    many = taken(docs, **settings).where("size > 0").groupBy("doc_id").agg(F.max(F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).alias("__n"))
-    many = many.where("__n > 0").select(F.col("doc_id").alias("__id"), "__n")
-    out = docs.join(many, F.col("doc_id").cast("long") == F.col("__id"))
-    return out.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__k")).drop("__k")
+    c = F.col
+    times = F.floor((c("taken") * 2 + c("size")) / (c("size") * 2)).cast("long")
+    many = _taken(docs, **settings).where("size > 0").groupBy(c("doc_id").alias("k_id"), c("source").alias("k_source"), c("th").alias("k_th")).agg(F.sum(times).alias("times"), F.count("*").alias("n"))
+    many = checkpoint(many.where("times > 0"))
+    # the whole row in one column, so that no name can clash
+    every = docs.select(F.struct(*[c(f"`{x}`") for x in docs.columns]).alias("row"), c("doc_id").cast("long").alias("id"), c("source").cast("string").alias("source"), F.xxhash64(c("text").cast("string")).alias("th"))
+    same = c("id").eqNullSafe(c("k_id")) & c("source").eqNullSafe(c("k_source")) & (c("th") == c("k_th"))
+    out = every.join(many.where("n = 1"), same).select("row", "times")
+    if many.where("n > 1").take(1):  # rows that are repeated: one of them stands for all
+        out = out.unionByName(every.join(many.where("n > 1"), same).dropDuplicates(["id", "source", "th"]).select("row", "times"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), c("times"))).alias("k")).select("row.*")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
