@@ -28,6 +28,8 @@ _ENDS_P = BLOCKS - frozenset("option optgroup td th tr tbody thead tfoot".split(
 STATES = 3
 #: Labelled pages that the model is trained on.
 PAGES = 400
+#: Nodes of pages that are handled together, about.
+NODES = 8192
 
 
 class Node:
@@ -193,57 +195,79 @@ class Model:
             g = np.concatenate([g, both]) / len(pages) + 1e-3 * w
             mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
             w -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        self.weights = {name: w[k] for name, k in names.items()}
-        self.edge = np.exp(w[-STATES:])
-
-    def marginals(self, nodes: list[Node]) -> np.ndarray:
-        """Exact marginals: messages from the leaves up, then from the root down."""
-        n = len(nodes)
-        up = np.zeros((n, STATES))
-        for i, f in enumerate(features(nodes)):
-            for w in f:
-                v = self.weights.get(w)
-                if v is not None:
-                    up[i] += v
-        up = np.exp(up - up.max(axis=1, keepdims=True))
-        message = np.empty((n, STATES))
-        for i in range(n - 1, 0, -1):
-            up[i] /= up[i].sum()
-            message[i] = self.edge @ up[i]
-            p = nodes[i].parent
-            up[p] *= message[i]
-            up[p] /= up[p].sum()
-        belief = np.empty((n, STATES))
-        belief[0] = up[0] / up[0].sum()
-        for i in range(1, n):
-            b = up[i] * ((belief[nodes[i].parent] / message[i]) @ self.edge)
-            belief[i] = b / b.sum()
-        return belief
-
-    def extract(self, html: str | None) -> str:
-        """Blocks of the text nodes that are likelier content than not, one to a line."""
-        if not html:
-            return ""
-        nodes = parse(html)
-        chance = self.marginals(nodes)[:, 1]
-        hidden = [False] * len(nodes)
-        blocks: list[list[str]] = [[]]
-        owner = [0] * len(nodes)  # the nearest block element
-        last = 0
-        for i, x in enumerate(nodes):
-            if i:
-                hidden[i] = hidden[x.parent] or x.tag in HIDDEN
-                owner[i] = i if x.tag in BLOCKS else owner[x.parent]
-            if owner[i] != last:
-                blocks.append([])
-                last = owner[i]
-            if x.tag == "#text":
-                if chance[i] >= 0.5 and not hidden[i]:
-                    blocks[-1].append(x.text)
-            elif x.tag == "br":
-                blocks[-1].append(" ")
-        lines = (re.sub(r"\s+", " ", "".join(b)).strip() for b in blocks)
-        return "\n".join(x for x in lines if x)
+        self.names, self.matrix, self.log_edge = names, w[:-STATES], w[-STATES:]
+
+    def marginals(self, pages: list[list[Node]]) -> list[np.ndarray]:
+        """Exact marginals of the nodes of each page: messages from the leaves up, then from the root down, level by level of all pages."""
+        cols, counts, parent, depth, starts = [], [], [], [], []
+        for nodes in pages:
+            at = len(parent)
+            starts.append(at)
+            for f in features(nodes):
+                own = [self.names[w] for w in f if w in self.names]
+                cols += own
+                counts.append(len(own))
+            for x in nodes:
+                parent.append(at + x.parent if x.parent >= 0 else -1)
+                depth.append(depth[parent[-1]] + 1 if x.parent >= 0 else 0)
+        n, parent, depth = len(parent), np.array(parent), np.array(depth)
+        row = np.repeat(np.arange(n), counts)
+        unary = np.stack([np.bincount(row, weights=self.matrix[cols, s], minlength=n) for s in range(STATES)], axis=1) if cols else np.zeros((n, STATES))
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        edge, up, message = self.log_edge, unary, np.zeros((n, STATES))
+        for at in reversed(levels[1:]):
+            message[at] = _lse(edge + up[at][:, None, :], 2)
+            np.add.at(up, parent[at], message[at])
+        belief = up - _lse(up, 1)[:, None]
+        for at in levels[1:]:
+            b = up[at] + _lse((belief[parent[at]] - message[at])[:, :, None] + edge, 1)
+            belief[at] = b - _lse(b, 1)[:, None]
+        return np.split(np.exp(belief), starts[1:])
+
+    def extract(self, pages: list[str | None]) -> list[str]:
+        """The main text of each page; pages are handled together in runs of about NODES nodes."""
+        out = [""] * len(pages)
+        held: list[tuple[int, list[Node]]] = []
+
+        def settle():
+            for (at, nodes), chance in zip(held, self.marginals([x for _, x in held]), strict=True):
+                out[at] = text_of(nodes, chance[:, 1])
+            held.clear()
+
+        size = 0
+        for at, html in enumerate(pages):
+            if html:
+                held.append((at, parse(html)))
+                size += len(held[-1][1])
+            if size >= NODES:
+                settle()
+                size = 0
+        if held:
+            settle()
+        return out
+
+
+def text_of(nodes: list[Node], chance: np.ndarray) -> str:
+    """Blocks of the text nodes that are likelier content than not, one to a line."""
+    hidden = [False] * len(nodes)
+    blocks: list[list[str]] = [[]]
+    owner = [0] * len(nodes)  # the nearest block element
+    last = 0
+    for i, (x, c) in enumerate(zip(nodes, chance.tolist(), strict=True)):
+        if i:
+            hidden[i] = hidden[x.parent] or x.tag in HIDDEN
+            owner[i] = i if x.tag in BLOCKS else owner[x.parent]
+        if owner[i] != last:
+            blocks.append([])
+            last = owner[i]
+        if x.tag == "#text":
+            if c >= 0.5 and not hidden[i]:
+                blocks[-1].append(x.text)
+        elif x.tag == "br":
+            blocks[-1].append(" ")
+    lines = (" ".join("".join(b).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
 
 
 def truth(nodes: list[Node]) -> list[int]:
@@ -367,7 +391,7 @@ def trained() -> Model:
 def main_text(html: Column, model: Model) -> Column:
     @F.arrow_udf("string")
     def extract(column: pa.Array) -> pa.Array:
-        return pa.array([model.extract(x) for x in column.to_pylist()], pa.string())
+        return pa.array(model.extract(column.to_pylist()), pa.string())
 
     return extract(html.cast("string"))
 

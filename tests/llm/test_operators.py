@@ -463,23 +463,33 @@ def test_html_marginals_are_exact():
 
     model, nodes = html_text.trained(), html_text.parse("<div class=ad><p>a b</p></div><p>c d e f</p>")
     f = html_text.features(nodes)
-    unary = [np.exp(sum((model.weights[w] for w in x if w in model.weights), np.zeros(3))) for x in f]
+    unary = [np.exp(sum((model.matrix[model.names[w]] for w in x if w in model.names), np.zeros(3))) for x in f]
+    edge = np.exp(model.log_edge)
     total = np.zeros((len(nodes), 3))
     for states in itertools.product(range(3), repeat=len(nodes)):
-        p = np.prod([unary[i][s] for i, s in enumerate(states)]) * np.prod([model.edge[states[x.parent], states[i]] for i, x in enumerate(nodes) if i])
+        p = np.prod([unary[i][s] for i, s in enumerate(states)]) * np.prod([edge[states[x.parent], states[i]] for i, x in enumerate(nodes) if i])
         for i, s in enumerate(states):
             total[i, s] += p
-    assert np.allclose(model.marginals(nodes), total / total.sum(axis=1, keepdims=True))
+    other = html_text.parse("<p>x</p>")
+    got = model.marginals([other, nodes, other])
+    assert np.allclose(got[1], total / total.sum(axis=1, keepdims=True)) and np.allclose(got[0], got[2]) and len(got[0]) == len(other)
 
 
 def test_html_held_out_pages():
     model, right, n = html_text.trained(), 0, 0
     for page in html_text.labelled_pages(60, seed=1234):
         nodes = html_text.parse(page)
-        for x, t, p in zip(nodes, html_text.truth(nodes), model.marginals(nodes), strict=True):
+        for x, t, p in zip(nodes, html_text.truth(nodes), model.marginals([nodes])[0], strict=True):
             if x.tag == "#text" and x.text.strip():
                 n += 1
                 right += (p[1] >= 0.5) == (t == 1)
     assert right / n > 0.98
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    assert isinstance(model.extract(deep + "<![if x]>" + "<p>word " * 2000), str)
+    assert all(isinstance(x, str) for x in model.extract([deep + "<![if x]>" + "<p>word " * 2000, None, ""]))
+
+
+def test_html_repeated_rows_and_batches(spark):
+    page = PAGES[0][0]
+    df = spark.createDataFrame([(i % 3, "u", page if i % 2 else "<p>" + "a word of text, and more. " * 40) for i in range(700)], "page_id long, url string, html string")
+    got = html_text.extract(df).groupBy("text").count().collect()
+    assert sorted(r["count"] for r in got) == [350, 350] and PAGES[0][1] in {r.text for r in got}
