@@ -72,12 +72,16 @@ def running_totals(rows: DataFrame, bucket: list[str], order: list, sums: dict[s
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): (id, label), label the least id of the component.
 
-    Large-star and small-star rounds until nothing changes: each joins the edges with one minimum per
+    Large-star and small-star rounds until the edges are stars: each joins the edges with one minimum per
     node, so no node's neighbours are ever gathered. Each round is cut by a checkpoint in the shared folder.
     """
+    def stars(e: DataFrame) -> bool:
+        """Whether each edge leads from a node that has no other to one that has none."""
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+        return not ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1").take(1)
+
     e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before, now = None, ()
-    while now != before:
+    while not stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -85,7 +89,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        before, now = now, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     )

@@ -183,14 +183,14 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     nodes = sig.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = checkpoint(nodes.withColumn("sid", F.monotonically_increasing_id()))
     keys = nodes.select("sid", F.struct("s1", "s2", "sid").alias("s"), F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("s").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep.sid", "c").withColumnRenamed("sid", "rep")
-    shared = checkpoint(keys.join(buckets, "key").select("key", "sid", "rep", "c"))
-    pairs = shared.where("sid <> rep").select("sid", "rep").distinct()
+    buckets = keys.groupBy("key").agg(F.min("s").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", F.col("rep.sid").alias("rep"), F.col("rep.s1").alias("rank"), "c")
+    shared = checkpoint(keys.join(buckets, "key").select("key", "sid", "rep", "rank", "c"))
+    pairs = shared.where("sid <> rep").select("sid", "rep", "rank").distinct()
     a, b = [nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("sid", "rep")]
     xor = F.aggregate(F.zip_with("s_sid", "s_rep", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = most_odd_bits(percent, rows * bands)
     fits = (F.least("n_sid", "n_rep") * 100 >= F.greatest("n_sid", "n_rep") * percent) & (xor <= most)
-    stars = checkpoint(pairs.join(a, "sid").join(b, "rep").where(fits).select("sid", "rep", xor.alias("xor")))
+    stars = checkpoint(pairs.join(a, "sid").join(b, "rep").where(fits).select("sid", "rep", "rank"))
 
     def sets(ids: DataFrame) -> DataFrame:
         """(sid, items): the full sets of some nodes."""
@@ -201,13 +201,13 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def confirmed(links: DataFrame) -> DataFrame:
         """Links (u, v) that hold on full sets. u is joined first, so that Spark can split a v that many links name."""
-        ends = sets(links.select(F.col("u").alias("sid")).union(links.select("v")))
+        ends = checkpoint(sets(links.select(F.col("u").alias("sid")).union(links.select("v"))))
         both = links.join(ends.toDF("u", "a"), "u").join(ends.toDF("v", "b"), "v")
         inter = F.size(F.array_intersect("a", "b"))
         return checkpoint(both.where(inter * 100 >= (F.size("a") + F.size("b") - inter) * percent).select("u", "v"))
 
-    # each node with the representative nearest to it, then the others that this leaves apart
-    first = stars.groupBy("sid").agg(F.min(F.struct("xor", "rep")).alias("m")).select(F.col("sid").alias("u"), F.col("m.rep").alias("v"))
+    # each node with the least of its representatives, which most of its class share, then the others that this leaves apart
+    first = stars.groupBy("sid").agg(F.min(F.struct("rank", "rep")).alias("m")).select(F.col("sid").alias("u"), F.col("m.rep").alias("v"))
     links = confirmed(first)
     root = links.select(F.col("u").alias("x"), F.col("v").alias("r"))
     up = lambda df, c: df.join(root, df[c] == root["x"], "left").withColumn(f"{c}_", F.coalesce("r", c)).drop("x", "r")
@@ -230,8 +230,10 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if more.take(1):
         over = lambda e, labels: labelled(labelled(e, labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
         coarse = checkpoint(components(over(more, exact)))
-        links = links.union(confirmed(more))
-        exact = checkpoint(components(links))
+        held = confirmed(more)
+        if held.take(1):
+            links = links.union(held)
+            exact = checkpoint(components(links))
         # groups that sketches connect and full sets so far don't
         heads = labelled(coarse.select(F.col("id").alias("sid"), F.col("label").alias("grp")), exact).select("label", "grp").distinct()
         parts = labelled(nodes.select("sid", "n"), exact).join(heads, "label")
