@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import norm, words
+from ..session import checkpoint
 from .related import contained_either_way, sharing
 
 # Weights of the signals in thousandths; floor and automatic threshold in millionths.
@@ -34,8 +35,10 @@ def date_score(doc: Column, tx: Column, tolerance: int = TOLERANCE_DAYS) -> Colu
     return F.when(n.isNull(), 0).when(n == 0, 1000).when(n <= tolerance, near).when(n <= 2 * tolerance, 200).when(n <= 30, 100).otherwise(0)
 
 
-def _description(a: Column, wa: Column, b: Column, wb: Column) -> Column:
-    both, either = F.size(F.array_intersect(wa, wb)), F.size(F.array_union(wa, wb))
+def _description(a: Column, wa: Column, b: Column, wb: Column, both: Column | None = None) -> Column:
+    """both: how many of the distinct words are common, if that is at hand."""
+    both = F.size(F.array_intersect(wa, wb)) if both is None else both
+    either = F.size(wa) + F.size(wb) - both
     share = F.round(both * 1000.0 / F.greatest(either, F.lit(1))).cast("int")
     return F.when((a == "") | (b == ""), 0).when(a == b, 1000).when(a.contains(b) | b.contains(a), 800).when(both * 10 > either * 3, share).otherwise(0)
 
@@ -86,11 +89,11 @@ def scored(pairs: DataFrame, tolerance: int = TOLERANCE_DAYS, override: bool = T
     Without override a pair is scored by its signals alone.
     """
     c = F.col
-    out = pairs.select(
-        "*",
+    out = pairs.withColumn("both", F.size(F.array_intersect("n_words", "t_words"))).select(
+        *pairs.columns,
         amount_score(c("amount"), c("tx_amount")).alias("amount_score"),
         date_score(c("date"), c("tx_date"), tolerance).alias("date_score"),
-        _description(c("n_description"), c("n_words"), c("t_description"), c("t_words")).alias("description_score"),
+        _description(c("n_description"), c("n_words"), c("t_description"), c("t_words"), c("both")).alias("description_score"),
         _vendor(c("n_vendor"), c("t_vendor")).alias("vendor_score"),
         _exact(c("amount"), c("tx_amount"), c("date"), c("tx_date"), c("n_vendor"), c("n_source"), c("t_source"), c("t_destination")).alias("is_exact"),
     )
@@ -100,6 +103,15 @@ def scored(pairs: DataFrame, tolerance: int = TOLERANCE_DAYS, override: bool = T
     return out.select("*", total.cast("int").alias("total"), reasons.alias("reasons"))
 
 
+def _reaching(pairs: DataFrame, bound) -> DataFrame:
+    """Scored pairs whose total is the bound or more.
+
+    The partition's number, which is never negative, keeps the filter behind the scores: pushed below
+    them it would compute every score once more.
+    """
+    return pairs.withColumn("task", F.spark_partition_id()).where((F.col("total") >= bound) & (F.col("task") >= 0)).drop("task")
+
+
 def candidates(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every pair of documents and transactions, prepared; ledger columns get the prefix tx_. For tables of a few rows."""
     return prepared(docs).crossJoin(prepared_ledger(ledger))
@@ -155,7 +167,7 @@ def _related(docs: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     vendors = vendors.select("*", (_vendor(F.col("n_vendor"), F.col("t_vendor")) * WEIGHTS["vendor"]).alias("points"))
     descriptions = contained_either_way(s, ts).union(sharing(s, ts, words, 3)).distinct().toDF("n_description", "t_description")
     points = _description(F.col("n_description"), words(F.col("n_description")), F.col("t_description"), words(F.col("t_description"))) * WEIGHTS["description"]
-    return vendors.where("points > 0"), descriptions.select("*", points.alias("points")).where("points > 0")
+    return checkpoint(vendors.where("points > 0")), checkpoint(descriptions.select("*", points.alias("points")).where("points > 0"))
 
 
 def _far(docs: DataFrame, tx: DataFrame, floor: int, tolerance: int) -> DataFrame:
@@ -203,8 +215,8 @@ def _far(docs: DataFrame, tx: DataFrame, floor: int, tolerance: int) -> DataFram
         .when(kind.endswith("+amount"), (c("a") > 0) & (c("a") < c("bound")) & (c("d") == 0))
         .when(kind.endswith("+day"), (c("d") > 0) & (c("d") < c("bound")) & (c("a") == 0)).otherwise((c("a") == 0) & (c("d") == 0))
     )
-    found = scored(pairs.where(once).drop("a", "d"), tolerance).where(~kind.startswith("t_description") | (c("vendor_score") == 0))
-    return found.where("total >= bound").drop("key")
+    found = _reaching(scored(pairs.where(once).drop("a", "d"), tolerance), c("bound")).where(~kind.startswith("t_description") | (c("vendor_score") == 0))
+    return found.drop("key")
 
 
 def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
@@ -215,18 +227,19 @@ def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int =
     any other pair of the document must reach; the others are looked up by what they need for that. A
     floor of 0 or less asks for every pair, and compares every pair.
     """
-    d = prepared(docs).select("document_id", "amount", "date", "n_description", "n_words", "n_vendor", "n_source")
-    t = prepared_ledger(ledger).select("tx_ledger_id", "tx_amount", "tx_date", "t_description", "t_words", "t_vendor", "t_source", "t_destination")
+    # each is read several times
+    d = checkpoint(prepared(docs).select("document_id", "amount", "date", "n_description", "n_words", "n_vendor", "n_source"))
+    t = checkpoint(prepared_ledger(ledger).select("tx_ledger_id", "tx_amount", "tx_date", "t_description", "t_words", "t_vendor", "t_source", "t_destination"))
     out = ["document_id", "tx_ledger_id", "tx_date", *[f"{k}_score" for k in WEIGHTS], "is_exact", "total", "reasons"]
     if floor <= 0:
         return _best(scored(d.crossJoin(t), tolerance).where(F.col("total") >= floor).select(out), top)
     c = F.col
     numbers = amount_score(c("amount"), c("tx_amount")) * WEIGHTS["amount"] + date_score(c("date"), c("tx_date"), tolerance) * WEIGHTS["date"]
     texts = 1000 * (WEIGHTS["description"] + WEIGHTS["vendor"])
-    seed = _best(scored(_near(d, t, 5, tolerance).where(numbers >= floor), tolerance).select(out), top)
+    seed = checkpoint(_best(scored(_near(d, t, 5, tolerance).where(numbers >= floor), tolerance).select("document_id", "tx_ledger_id", "tx_date", "total"), top))
     both = (amount_score(c("amount"), c("tx_amount")) > 0) & (date_score(c("date"), c("tx_date"), tolerance) > 0)
     near = _near(_with_bound(d, seed, top, floor), t, 20, max(30, 2 * tolerance)).where(both & (numbers + texts >= c("bound")))
-    near = _best(scored(near, tolerance).where("total >= bound").select(out), top)
+    near = checkpoint(_best(_reaching(scored(near, tolerance), c("bound")).select(out), top))
     far = _best(_far(_with_bound(d, near, top, floor), t, floor, tolerance).select(out), top)
     return _best(near.drop("rank").unionByName(far.drop("rank")), top)
 
