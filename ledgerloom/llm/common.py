@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 
 import numpy as np
@@ -12,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ship
+from ..session import checkpoint, ship
 
 #: White space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder of the session.
-
-    A folder is only set here if neither the session nor the context has one, and only for a local
-    master, whose executors share the driver's disk; on a cluster that is an error.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def with_ids(df: DataFrame, ids: DataFrame, how: str, n_ids: int | None = None) -> DataFrame:
     """Join with a table of ids (all its columns are the key); broadcast it only if its counted size is small."""
     n = ids.count() if n_ids is None else n_ids
@@ -85,7 +67,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())

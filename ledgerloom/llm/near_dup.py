@@ -194,7 +194,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def sets(ids: DataFrame) -> DataFrame:
         """(sid, items): the full sets of some nodes."""
-        some = ids.select("sid").distinct().join(nodes.select("sid", "s1", "s2", F.coalesce("doc", F.lit(_NO_ID)).alias("id")), "sid")
+        some = checkpoint(ids.select("sid").distinct().join(nodes.select("sid", "s1", "s2", F.coalesce("doc", F.lit(_NO_ID)).alias("id")), "sid"))
         text = with_ids(docs.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))), some.select("id").distinct(), "left_semi")
         full = text.select("text").mapInArrow(_full_sets(words), "s1 long, s2 long, items array<long>")
         return full.join(some.drop("id"), ["s1", "s2"]).dropDuplicates(["sid"]).select("sid", "items")
@@ -206,42 +206,31 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         inter = F.size(F.array_intersect("a", "b"))
         return checkpoint(both.where(inter * 100 >= (F.size("a") + F.size("b") - inter) * percent).select("u", "v"))
 
-    # each node with the least of its representatives, which most of its class share, then the others that this leaves apart
+    # each node with the least of its representatives, which most of its class share
     first = stars.groupBy("sid").agg(F.min(F.struct("rank", "rep")).alias("m")).select(F.col("sid").alias("u"), F.col("m.rep").alias("v"))
     links = confirmed(first)
-    root = links.select(F.col("u").alias("x"), F.col("v").alias("r"))
-    up = lambda df, c: df.join(root, df[c] == root["x"], "left").withColumn(f"{c}_", F.coalesce("r", c)).drop("x", "r")
-    others = stars.select("sid", "rep").join(first.toDF("sid", "rep"), ["sid", "rep"], "left_anti")
-    others = up(up(up(others, "sid"), "rep").drop("x"), "rep_")
-    others = checkpoint(others.where("sid_ <> rep_ and sid_ <> rep__").select(F.col("sid").alias("u"), F.col("rep").alias("v")))
-    if others.take(1):
-        links = links.union(confirmed(others))
-    exact = checkpoint(components(links))
 
     def labelled(df: DataFrame, labels: DataFrame, c: str = "sid", name: str = "label") -> DataFrame:
-        return df.join(labels.select(F.col("id").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+        return df.join(labels.toDF(c, name), c, "left").withColumn(name, F.coalesce(name, c))
 
-    # what is not linked with its representative may still be with another member of the bucket
-    rest = labelled(labelled(shared.where("c > 2"), exact), exact, "rep", "main").withColumn("few", F.col("label") != F.col("main"))
+    # what this leaves apart from a bucket's representative may still be linked with it or another member
+    rest = checkpoint(labelled(labelled(shared.select("key", "sid", "rep"), links), links, "rep", "main").withColumn("few", F.col("label") != F.col("main")))
     crowded = rest.where("few").select("key").distinct()
-    rest = rest.join(crowded, "key", "left_semi").select("key", "sid", "label", "few").join(nodes.select("sid", "n", "sketch"), "sid")
+    rest = checkpoint(rest.join(crowded, "key", "left_semi").select("key", "sid", "label", "few").join(nodes.select("sid", "n", "sketch"), "sid"))
     more = _few_by_all(rest, "key", SKETCHES, "sketch").groupBy("key", "i", "j").applyInPandas(_sketch_links(percent, most), "u long, v long")
     more = checkpoint(more.distinct())
-    if more.take(1):
-        over = lambda e, labels: labelled(labelled(e, labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
-        coarse = checkpoint(components(over(more, exact)))
-        held = confirmed(more)
-        if held.take(1):
-            links = links.union(held)
-            exact = checkpoint(components(links))
+    held = confirmed(more)
+    exact = checkpoint(components(links.union(held)))
+    if more.count() > held.count():
         # groups that sketches connect and full sets so far don't
-        heads = labelled(coarse.select(F.col("id").alias("sid"), F.col("label").alias("grp")), exact).select("label", "grp").distinct()
-        parts = labelled(nodes.select("sid", "n"), exact).join(heads, "label")
+        coarse = components(links.union(more)).select(F.col("id").alias("sid"), F.col("label").alias("grp"))
+        parts = labelled(coarse.join(nodes.select("sid", "n"), "sid"), exact)
         weights = parts.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1")
         parts = checkpoint(parts.join(weights.select("grp", F.col("m.label").alias("main")), "grp").select("grp", "sid", "label", "n", (F.col("label") != F.col("main")).alias("few")))
         full = _few_by_all(parts.join(sets(parts), "sid"), "grp", BLOCK, "items")
-        links = links.union(checkpoint(full.groupBy("grp", "i", "j").applyInPandas(_links(percent), "u long, v long")))
-        exact = checkpoint(components(links))
+        last = checkpoint(full.groupBy("grp", "i", "j").applyInPandas(_links(percent), "u long, v long"))
+        if last.take(1):
+            exact = checkpoint(components(links.union(held).union(last)))
     out = sig.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(labelled(nodes.select("s1", "s2", "sid"), exact), ["s1", "s2"], "left")
     return out.select("doc_id", "th", "n", F.col("label").alias("cls"))
 
@@ -258,10 +247,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Other columns are ignored.
 
     Steps: MinHash samples give band keys and, folded by parity, an odd sketch. In each band the least
-    set stands for its bucket; XOR counts of sketches discard what cannot reach the threshold, and the
-    rest of these pairs is confirmed on full sets. Only the members of a bucket that this leaves apart from
-    its representative are compared with all the others, first by sketches; the links that these
-    suggest are confirmed, and what is still in parts is compared on full sets, in blocks.
+    set stands for its bucket; XOR counts of sketches discard what cannot reach the threshold, and each
+    set's link with the least of its representatives is confirmed on full sets. Only the members of a
+    bucket that this leaves apart from its representative are compared with all the others, first by
+    sketches; the links that these suggest are confirmed, and what is still in parts is compared on full
+    sets, in blocks.
     """
     rows = checkpoint(_classes(docs, words, percent))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("component_id"))
