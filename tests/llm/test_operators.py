@@ -156,6 +156,24 @@ def test_passages_at_the_threshold(spark):
     assert len({r.doc_id for r in got}) >= 2 * 298  # a pair shares no min-hash once in 600
 
 
+def test_passages_against_brute_force(spark):
+    """Every document with an exact run of 50 words of another is found on the smallest tables, and no passage without a partner."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {r.doc_id: WORD.findall((r.text or "").translate(low)) for r in docs.collect()}
+    seen = {}
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    want = {d for ds in seen.values() if len(ds) > 1 for d in ds}
+    got = passages.repeated_passages(docs).collect()
+    assert len(want) > 10 and len(want - {r.doc_id for r in got}) <= 0.01 * len(want)
+    sets = [shingle_set(" ".join(words[r.doc_id][r.start_word : r.end_word]), 5) for r in got]
+    for i, r in enumerate(got):  # another passage of the class is as near as it says
+        near = max((len(sets[i] & s) / len(sets[i] | s) for j, s in enumerate(sets) if got[j].doc_id != r.doc_id), default=0)
+        assert r.end_word - r.start_word >= 40 and near >= 0.8
+
+
 def test_compact_windows_are_the_cartesian_tree():
     r = np.random.default_rng(1)
     n, t, bits = 300, 9, np.uint64(10)
@@ -192,28 +210,31 @@ def test_language_on_held_out_and_odd_texts(spark, none):
     assert {x.lang_pred for x in language.identify(df, language.learn(none)).collect()} == {"und"}
 
 
-def brute_bits(texts, text):
-    """Bits of a text after frozen statistics of others, byte by byte, by escapes of method C."""
+def grams(texts):
+    """How often each byte followed each context of up to three bytes."""
     counts = {}
     for t in texts:
         t = b"   " + t
         for i in range(3, len(t)):
             for k in range(4):
                 counts.setdefault(t[i - k : i], Counter())[t[i]] += 1
+    return {c: (n, sum(n.values()), len(n)) for c, n in counts.items()}
+
+
+def bits_of(counts, text):
+    """Bits of a text after frozen statistics, byte by byte, by escapes of method C."""
     total, t = 0.0, b"   " + text
     for i in range(3, len(t)):
-        for k in range(3, -2, -1):
-            if k < 0:
-                total += 8
-                break
-            seen = counts.get(t[i - k : i])
-            if not seen:
+        for k in range(3, -1, -1):
+            if not (seen := counts.get(t[i - k : i])):
                 continue
-            n, d = sum(seen.values()), len(seen)
-            if t[i] in seen:
-                total -= math.log2(seen[t[i]] / (n + d))
+            next_, n, d = seen
+            if t[i] in next_:
+                total -= math.log2(next_[t[i]] / (n + d))
                 break
             total -= math.log2(d / (n + d))
+        else:
+            total += 8
     return total
 
 
@@ -228,7 +249,7 @@ def test_code_lengths_equal_brute_force(spark, monkeypatch):
     texts = [rows[0][1], rows[40][1], "never SEEN Ж 好 12", "", "x" * 70_000]
     bits, _ = language._score(model, language.pa.array(texts))
     for i, t in enumerate(texts[:4]):
-        assert bits[i].tolist() == pytest.approx([brute_bits(learned[x], t.encode()) for x in model.langs], rel=1e-5)
+        assert bits[i].tolist() == pytest.approx([bits_of(grams(learned[x]), t.encode()) for x in model.langs], rel=1e-5)
 
 
 def test_language_of_repeats_long_texts_and_many_labels(spark):
@@ -286,6 +307,69 @@ def test_mix_meets_its_targets(docs, none):
     assert mixing.taken(none).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
+def brute_targets(sizes):
+    """Targets by handing out the excess over caps again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    goal, capped = 1.5 * sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        left, total = goal - sum(capped.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 2 * sizes[s]]
+        if not over:
+            return {**capped, **{s: left * weight[s] / total for s in free}}
+        capped |= {s: 2 * sizes[s] for s in over}
+
+
+def test_mix_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    want = brute_targets(sizes)
+    got, words = {}, Counter()
+    for r in mixing.taken(docs).collect():
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] and r.taken <= 2 * r["size"]
+        got[r.source] = got.get(r.source, 0) + r.taken
+        words[r.doc_id] += r["size"]
+    assert all(abs(got[s] - want[s]) <= 1 for s in want) and sum(words.values()) == sum(sizes.values())
+
+
+def test_mix_tells_rows_apart(spark):
+    """Rows without an id, rows that share one, and repeated rows are each taken as often as their own words are read."""
+    rows = [(None, prose(50, i), "a", f"n{i}") for i in range(40)] + [(5, prose(30 + i, 100 + i), "b", f"s{i}") for i in range(40)] + [(6, "same words here", "b", "copy")] * 30 + [(7, None, "a", "x"), (8, "", None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string").withColumn("times", F.lit("clash")).withColumn("k", F.lit("clash")).withColumn("th", F.lit(1))
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    many = Counter((r.doc_id, r.text) for r in out.collect())
+    had = Counter((r[0], r[1]) for r in rows)
+    assert set(many) <= set(had) and all(n <= 2 * had[k] for k, n in many.items()) and not any(k[1] in (None, "") for k in many)
+    expected = {}
+    for r in mixing._taken(df).join(df.select("doc_id", "text", F.xxhash64("text").alias("h")).distinct(), (F.col("th") == F.col("h"))).collect():
+        if r["size"]:
+            key = (r[0], r.text)
+            expected[key] = expected.get(key, 0) + (2 * r.taken + r["size"]) // (2 * r["size"])
+    assert {k: n for k, n in expected.items() if n} == dict(many)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_shards_of_hot_ids(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "RANGE", 20)
+    rows = [(None, f"null {i}") for i in range(300)] + [(7, f"hot {i % 250}") for i in range(400)] + [(i, f"t{i}" * (i % 9)) for i in range(100, 500)] + [(600, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard_of", F.lit("x")).repartition(7)
+    bounds, hot = sharding._bounds(df)
+    assert 7 in hot and len(bounds) > 10
+    got = sharding.assign_shards(df, 6).collect()
+    key = lambda i, crc, size: (-1 if i is None else i, -1 if crc is None else crc, size)
+    ordered = sorted(key(i, None if t is None else zlib.crc32(t.encode()), len((t or "").encode()) + 8) for i, t in rows)
+    assert [key(r.doc_id, r.text_crc32, r.size) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == ordered
+    sharding.write_shards(df, str(tmp_path / "out"), 6)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.shard, r.doc_id, r.text) for r in back.collect()).keys() and Counter(r.shard for r in back.collect()) == Counter(r.shard for r in got)
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+
+
 def test_schedule_spreads_sources(spark):
     s = spark.createDataFrame([("a", 50), ("b", 30), (None, 20)], "source string, blocks long")
     slots = mixing.schedule(s).orderBy("slot").collect()
@@ -319,6 +403,87 @@ def test_decontamination_with_inserted_words_and_names_at_starts(spark):
     assert {(1, 1), (2, 1), (3, 2)} <= got and not {5} & {d for d, _ in got}
 
 
+def brute_template(text, values, starts):
+    """Words of a text as (kind, value), by a loop over its tokens in place of the operator's patterns."""
+    import regex
+
+    keep = lambda kind: (lambda m: f" \x01{kind}{m[0] if values else ''} ")
+    t = regex.sub(r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*(?![\p{L}\p{N}])", keep("n"), text.replace("\u0130", "I"))
+    units = {u.lower() for u in decontamination.UNITS}
+    out, at = [], 0
+    for m in regex.finditer(r"(\x01n\S* +)([\p{L}]+(?:/\p{L}+)?)(?![\p{L}\p{N}])", t):
+        unit = m[2] if m[2].lower() in units else m[2].split("/")[0]
+        if m.start() >= at and unit.lower() in units:
+            out += [t[at : m.start(2)], f"\x01u{unit.replace('/', '') if values else ''} "]
+            at = m.start(2) + len(unit)
+    t = "".join([*out, t[at:]])
+    places = {}
+    for m in regex.finditer(r"\p{Lu}\p{L}*", t, overlapped=False):
+        i = m.start()
+        before, two = t[i - 1 : i], t[i - 2 : i]
+        usual = len(two) == 2 and two[1] == " " and regex.match(r"[\p{Ll},;]", two[0])
+        first = i == 0 or before == "\n" or (len(two) == 2 and two[1] in " \t\n\x0b\f\r" and regex.match(r"[\p{Ll},;.!?:]", two[0]))
+        if usual or (starts and first):
+            places[i] = m.end()
+    chars, i = [], 0
+    while i < len(t):
+        if i in places:
+            chars.append(f"\x01p{t[i : places[i]] if values else ''}")
+            i = places[i]
+        else:
+            chars.append(t[i])
+            i += 1
+    t = "".join(chars).lower() + " "
+    return regex.sub(r"(?:[^\p{L}\p{N}\x01.,]|[.,](?:(?<![0-9].)|(?![0-9])))+", " ", t).split()
+
+
+def brute_contaminated(docs, items, percent=80):
+    found = set()
+    for starts in (False, True):
+        own = {i: [(brute_template(t, False, starts), brute_template(t, True, starts)) for k, t in items if k == i and t] for i in {k for k, _ in items}}
+        index, total = {}, {}
+        for i, texts in own.items():
+            for plain, _ in texts:
+                for p in range(len(plain) - 4):
+                    w = tuple(plain[p : p + 5])
+                    if sum(not x.startswith("\x01") for x in w) >= 3:
+                        index.setdefault(w, []).append((i, p))
+                        total.setdefault(i, set()).add(w)
+        for d, text in docs:
+            plain, full = brute_template(text, False, starts), brute_template(text, True, starts)
+            hits = {}
+            for p in range(len(plain) - 4):
+                for i, q in index.get(tuple(plain[p : p + 5]), ()):
+                    hits.setdefault(i, set()).add((p - q, q, tuple(plain[p : p + 5])))
+            for i, h in hits.items():
+                bands = {}
+                for shift, q, w in h:
+                    for region in (("one", shift), ("wide", shift // 32), ("wide", shift // 32 + 1)):
+                        bands.setdefault(region, set()).add((shift, q, w))
+                for inside in bands.values():
+                    if 100 * len({w for _, _, w in inside}) < percent * len(total[i]):
+                        continue
+                    weight, best = Counter(s for s, _, _ in inside), {}
+                    for s, q, _ in inside:
+                        best[q] = max(best.get(q, (0, 0)), (weight[s], -s))
+                    values = own[i][0][1]
+                    slots = {(values[q + k], full[q + k - b]) for q, (_, b) in best.items() for k in range(5) if values[q + k].startswith("\x01") and full[q + k - b].startswith("\x01")}
+                    if len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots}):
+                        found.add((d, i))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    odd = [(10_000 + i, f"{prose(20, i)}. {t} {prose(9, i)}") for i, (_, t) in enumerate(items[:10])] + [(20_000, prose(3000, 5) + items[0][1])]
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text] + odd
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs.union(spark.createDataFrame(odd, "doc_id long, text string")), bench).collect()}
+    want = brute_contaminated(rows, items)
+    assert len(want) > 10 and got == want
+
+
 def test_templates_have_equal_places(spark):
     texts = ["at 60 km/h for 5 km and 7 KM/H", "in \u0130stanbul, \u0130zmir and Bonn 3.50 euros", "Mary Ann had 1,000.5 kg/m. The 3 m/s", ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
