@@ -13,10 +13,16 @@ def new_events(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> Dat
 
 
 def latest_state(stream: DataFrame, key: str, ts: str, state: str) -> DataFrame:
-    """The newest state of every key, for update or complete output."""
+    """The newest state of every key, for update or complete output. A row for each key is kept for good."""
     return stream.groupBy(key).agg(F.max_by(state, ts).alias(state), F.max(ts).alias(ts))
 
 
+def latest_state_within(stream: DataFrame, key: str, ts: str, state: str, period: str = "1 day", late: str = "1 day") -> DataFrame:
+    """The newest state of every key in each period; periods that the watermark has passed are dropped from the state."""
+    w = stream.withWatermark(ts, late).groupBy(F.window(ts, period), key).agg(F.max_by(state, ts).alias(state), F.max(ts).alias(ts))
+    return w.select(F.col("window.start").alias("start"), key, state, ts)
+
+
 def activity(stream: DataFrame, ts: str, kind: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events of each kind in tumbling windows, closed by the watermark."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, window), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")

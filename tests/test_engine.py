@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import streaming
 from ledgerloom.functions import pii, text
-from ledgerloom.operators import confidence, einvoice, identity, matching, ocr, queues, related, splits, suggestions, sync
+from ledgerloom.operators import assembly, confidence, einvoice, identity, matching, ocr, payloads, queues, reconcile, related, splits, suggestions, sync
 from ledgerloom.plans import registry
 from ledgerloom.sources import tables
 from ledgerloom.sources.views import spark_views
@@ -194,6 +194,63 @@ def test_splits(spark):
     assert got[2].description == "Item 4" and {r.group_id: r.category for r in splits.weighted_category(items).collect()} == {1: "b"}
 
 
+PAYLOAD = "document_id long, type string, date string, amount decimal(18,2), description string, external_id string, source_account string, destination_account string, correspondent string, currency string, category string, tags array<string>, notes string, source_hash string, overall double, review_state string, parser string"
+
+
+def test_split_and_manual_payloads(spark):
+    row = lambda k, amount: (k, "withdrawal", "2024-01-02", Decimal(amount), f"doc {k}", f"x{k}", None, None, "Shop", "EUR", "food", None, None, "ab" * 32, 0.5, "REVIEW", "")
+    docs = spark.createDataFrame([row(1, "10.00"), row(2, "10.00"), row(3, "5.00"), row(4, "5.00")], PAYLOAD)
+    items = spark.createDataFrame([(1, 0, "a", None, Decimal("0"), None), (1, 1, " ", Decimal("3.333"), None, "x"), (1, 2, "c", Decimal("0"), Decimal("6.60"), None), (2, 0, "a", Decimal("1"), None, None), (2, 1, "b", Decimal("1"), None, None), (3, 0, "a", Decimal("0"), None, None), (3, 1, "b", Decimal("-1"), None, None), (4, 0, "alone", Decimal("5"), None, None)],
+                                  "document_id long, order int, description string, total decimal(18,4), unit_price decimal(18,4), category string")
+    got = {(r.document_id, r.order): r for r in payloads.split_payloads(docs, items).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, None), (3, None)}
+    first, last = got[1, 1], got[1, 2]
+    assert (first.amount, first.description, first.category_name, first.external_id, first.internal_reference) == ("3.33", "Item 2", "x", "x1", "ARCHIVE:1")
+    assert (last.amount, last.category_name, last.external_id, last.notes, last.tags) == ("6.67", "food", None, None, ["archive", "split-transaction"])
+    assert got[2, None].error == "Split sum (2.00) differs from total (10.00) by 8.00" and got[3, None].error == "No valid line items to create splits from"
+    named = payloads.split_payloads(docs, items, canonical=True).where("external_id is not null").first()
+    assert named.external_id == f"archive:1:{'ab' * 8}:10.00:2024-01-02:splits2" and "splits=2" in named.notes and "splits=3" in first.notes
+    asked = spark.createDataFrame([(1, True, None), (2, False, "why"), (9, True, None)], "document_id long, is_cash boolean, remark string")
+    made = {r.document_id: r for r in payloads.manual(docs, asked, spark.createDataFrame([(1, 77), (1, 78)], "document_id long, ledger_id long")).collect()}
+    assert (made[1].error, made[9].error, made[2].error) == ("Document already linked to transaction 77", "Document extraction not found", None)
+    assert made[2].notes == " MANUAL TRANSACTION - No matching bank transaction. why"
+
+
+def test_checked_amounts_and_gate(spark):
+    check = lambda v, **k: tuple(one(spark, splits.checked_amount(F.col("v"), **k), v=v))
+    assert check(" 1.005 ") == (Decimal("1.01"), None) and check("0", zero=True) == (Decimal("0.00"), None) and check("0")[1] == "amount: Amount cannot be zero"
+    assert check("-1")[1] == "amount: Amount must be positive, got -1.00" and check("9", most=5)[1] == "amount: Amount 9.00 exceeds maximum 5" and check("1,5") == (None, "amount: Invalid amount format")
+    events = spark.createDataFrame([(1, 0, "amount=5", None), (1, 1, "mail a@b.de", None), (1, 2, "x" * 201, None), (2, 0, "Groceries", None), (3, 0, "ok", "a@b.de")], "run_id long, seq long, outcome string, notes string")
+    got = {r.run_id: (r.is_valid, r.violations) for r in pii.gate(events).collect()}
+    assert got[2] == (True, []) and got[1] == (False, ["Sensitive data in outcome: mail a@b.de..."]) and got[3][1] == ["Sensitive data in notes: a@b.de..."]
+    assert {r.run_id: len(r.violations) for r in pii.gate(events, strict=False).collect()} == {1: 2, 2: 0, 3: 1}
+
+
+def test_whole_runs(spark):
+    d, ten = date(2024, 1, 1), Decimal("10.00")
+    docs = spark.createDataFrame([(1, ten, d, "rent", "Shop", None)], "document_id long, amount decimal(18,2), date date, description string, vendor string, source_account string")
+    ledger = spark.createDataFrame([(7, ten, d, "rent", "bank", "shop", "UNMATCHED", None, None), (8, ten, d, "rent", "bank", "shop", "MATCHED", None, 5)], "ledger_id long, amount decimal(18,2), date date, description string, source_account string, destination_account string, match_status string, deleted_at timestamp, document_id long")
+    fetched = spark.createDataFrame([(9, ten, d, "rent", "bank", "shop", None)], "ledger_id long, amount decimal(18,2), date date, description string, source_account string, destination_account string, deleted_at timestamp")
+    none = spark.createDataFrame([], "document_id long, ledger_id long, total int")
+    state = lambda o: {r.ledger_id: (r.match_status, r.document_id) for r in o.ledger.collect()}
+    count = lambda o: {r.metric: r.n for r in o.counters.collect()}
+    alone = reconcile.reconcile(ledger, fetched, docs, none, none, skip_sync=True)
+    assert state(alone) == {7: ("MATCHED", 1), 8: ("MATCHED", 5)} and count(alone) == {"transactions_synced": 0, "proposals_created": 1, "auto_linked": 1}
+    merged = reconcile.reconcile(ledger, fetched, docs, none, none)
+    assert state(merged)[8] == ("MATCHED", 5) and count(merged)["proposals_created"] == 2 and count(merged)["transactions_synced"] == 1
+    full = reconcile.reconcile(ledger, fetched, docs, none, none, full_sync=True)
+    assert state(full) == {9: ("MATCHED", 1)}
+    dry = reconcile.reconcile(ledger, fetched, docs, none, none, full_sync=True, dry_run=True)
+    assert state(dry)[7] == ("UNMATCHED", None) and dry.proposals.count() == 0 and count(dry)["auto_linked"] == 1
+
+
+def test_stored_extractions(spark):
+    assert one(spark, assembly.decoded(F.col("v")), v="no json") is None and one(spark, assembly.decoded(F.lit(None).cast("string"))) is None
+    old = json.dumps({"document_id": 3, "proposal": {"amount": "12.50", "total_net": "", "tax_rate": "19"}, "confidence": {"overall": 0.5}, "line_items": [{"description": "a", "total": "x"}]})
+    got = one(spark, assembly.decoded(F.col("v")), v=old)
+    assert (got.proposal.amount, got.proposal.total_net, got.proposal.tax_rate, got.confidence.review_state, got.line_items[0].total) == (Decimal("12.50"), None, Decimal("19.0000"), "MANUAL", None)
+
+
 def test_upsert_is_idempotent_and_soft_delete_revives(spark):
     old = spark.createDataFrame([(1, "a", "M", None), (2, "b", "M", 7)], "k long, v string, status string, owner long")
     new = spark.createDataFrame([(2, "B", "U", None), (3, "c", "U", 9)], "k long, v string, status string, owner long")
