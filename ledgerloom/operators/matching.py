@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import norm, words
 from ..session import checkpoint
+from .pairing import Points, best_partners
 from .related import contained_either_way, sharing
 
 # Weights of the signals in thousandths; floor and automatic threshold in millionths.
@@ -103,15 +104,6 @@ def scored(pairs: DataFrame, tolerance: int = TOLERANCE_DAYS, override: bool = T
     return out.select("*", total.cast("int").alias("total"), reasons.alias("reasons"))
 
 
-def _reaching(pairs: DataFrame, bound) -> DataFrame:
-    """Scored pairs whose total is the bound or more.
-
-    The partition's number, which is never negative, keeps the filter behind the scores: pushed below
-    them it would compute every score once more.
-    """
-    return pairs.withColumn("task", F.spark_partition_id()).where((F.col("total") >= bound) & (F.col("task") >= 0)).drop("task")
-
-
 def candidates(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every pair of documents and transactions, prepared; ledger columns get the prefix tx_. For tables of a few rows."""
     return prepared(docs).crossJoin(prepared_ledger(ledger))
@@ -128,40 +120,11 @@ def _units(amount: Column) -> Column:
     return (amount.cast("decimal(22,4)") * 10_000).try_cast("long")
 
 
-def _amount_cells(amount: Column, percent: int, near: bool = False) -> Column:
-    """Cells of amounts, by sign and logarithm; near: all that amounts within percent of this one lie in."""
-    low, high = math.log1p(-percent / 100), math.log1p(percent / 100)
-    width = high * 1.001
-    at = F.when(amount == 0, 0).otherwise(10_000 + F.floor(F.ln(F.abs(amount).cast("double")) / width)).cast("long")
-    steps = range(math.floor(low / width), 2) if near else (0,)
-    sign = F.signum(amount.cast("double")).cast("long")
-    return F.when(amount.isNotNull(), F.array_distinct(F.array(*[sign * (at + k) for k in steps])))
-
-
-def _day_cells(day: Column, days: int, near: bool = False) -> Column:
-    """Cells of days; near: all that days within so many of this one lie in."""
-    at = F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (days + 1)).cast("long")
-    return F.when(day.isNotNull(), F.array(*[at + k for k in ((-1, 0, 1) if near else (0,))]))
-
-
-def _near(docs: DataFrame, tx: DataFrame, percent: int, days: int) -> DataFrame:
-    """All pairs within percent of the transaction's amount and so many days, and some beyond, by a join on cells of both."""
-    left = docs.select("*", F.explode(_amount_cells(F.col("amount"), percent)).alias("cell"), F.element_at(_day_cells(F.col("date"), days), 1).alias("day")).where("day is not null")
-    right = tx.select("*", F.explode(_amount_cells(F.col("tx_amount"), percent, True)).alias("cell")).select("*", F.explode(_day_cells(F.col("tx_date"), days, True)).alias("day"))
-    return left.join(right, ["cell", "day"]).drop("cell", "day")
-
-
 def _best(pairs: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy(F.desc("total"), F.col("tx_date").desc_nulls_last(), "tx_ledger_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def _with_bound(docs: DataFrame, best: DataFrame, top: int, floor: int) -> DataFrame:
-    """Documents with the total that a further match must reach: that of the last of `top` so far, or the floor."""
-    reached = best.groupBy("document_id").agg(F.min("total").alias("least"), F.count("*").alias("n")).where(F.col("n") >= top)
-    return docs.join(reached.select("document_id", "least"), "document_id", "left").withColumn("bound", F.greatest(F.coalesce("least", F.lit(floor)), F.lit(floor))).drop("least")
-
-
 def _related(docs: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points (millionths) of all pairs of distinct vendors, and of distinct descriptions, that have any."""
     texts = lambda df, c: df.select(c).distinct().where(F.col(c) != "")
@@ -175,111 +138,113 @@ def _related(docs: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checkpoint(vendors.where("points > 0")), checkpoint(descriptions.select("*", points.alias("points")).where("points > 0"))
 
 
-def _far(docs: DataFrame, tx: DataFrame, floor: int, tolerance: int) -> DataFrame:
-    """Pairs that reach their document's bound although amounts or days are too far apart to count.
-
-    What such a pair can still reach depends on what it has: related vendors or descriptions, with or
-    without one of amount and day, or only one of these. Each of these cases is a kind of key, which a
-    document has only if its bound is in reach; one equi-join on (kind, text, cell) finds them all.
-    """
-    c, reach = F.col, max(30, 2 * tolerance)
-    most = {k: w * 1000 for k, w in WEIGHTS.items()}
-    # days within which the day alone can reach the floor
-    alone = reach if floor <= 300 * WEIGHTS["date"] else max(0, math.floor((1 - floor / most["date"]) * (tolerance + 1)))
-    # percents, with the bounds up to and beyond which an amount alone must be that near
-    points = [(p, s * WEIGHTS["amount"]) for p, s in ((1, 1000), (5, 700), (10, 400), (20, 200))]
-    tiers = [(p, upto, beyond) for (p, upto), (_, beyond) in zip(points, [*points[1:], (0, -1)], strict=True) if upto >= floor]
-    key = lambda kind, text, cells: F.transform(cells, lambda x: F.struct(F.lit(kind).alias("kind"), text.alias("text"), x.alias("cell")))
-    one = F.array(F.lit(0).cast("long"))
-    none = F.lit("")
-    amount, day = (lambda p, near: _amount_cells(c(f"{p}amount"), 20, near)), (lambda p, near: _day_cells(c(f"{p}date"), reach, near))
-    keep = lambda test, keys: F.when(test, keys)
-    flat = lambda *keys: F.explode(F.flatten(F.array_compact(F.array(*keys)))).alias("key")
-    vendors, descriptions = _related(docs, tx)
-
-    def by(pairs: DataFrame, doc_text: str, text: str, more: int) -> DataFrame:
-        best = c("points") + more
-        return docs.join(pairs, doc_text).select(docs["*"], flat(
-            keep(c("bound") <= best + most["amount"], key(f"{text}+amount", c(text), amount("", False))),
-            keep(c("bound") <= best + most["date"], key(f"{text}+day", c(text), day("", False))),
-            keep(c("bound") <= best, key(text, c(text), one)),
-        ))
-
-    left = by(vendors, "n_vendor", "t_vendor", most["description"]).unionByName(by(descriptions, "n_description", "t_description", 0)).unionByName(
-        docs.select("*", flat(
-            *[keep((c("bound") <= upto) & (c("bound") > beyond), key(f"amount@{p}", none, _amount_cells(c("amount"), p))) for p, upto, beyond in tiers],
-            keep(c("bound") <= most["date"], key("day", none, _day_cells(c("date"), alone))),
-        ))
+def _points(tolerance: int) -> Points:
+    """Amounts and days in millionths, as the scores weigh them."""
+    level = lambda n: max(math.floor(1000 - n * 1000 / (tolerance + 1) + 0.5), 300) if n else 1000
+    days = [(n, level(n)) for n in range(tolerance + 1)] + [(2 * tolerance, 200)] * (tolerance > 0) + [(30, 100)] * (2 * tolerance < 30)
+    day = F.lit("1970-01-01").cast("date")
+    return Points(
+        tuple((p, WEIGHTS["amount"] * s) for p, s in ((0, 1000), (1, 950), (5, 700), (10, 400), (20, 200))),
+        tuple((n, WEIGHTS["date"] * s) for n, s in days),
+        lambda a, b: amount_score(a, b) * WEIGHTS["amount"],
+        lambda n: date_score(day, F.date_add(day, n.cast("int")), tolerance) * WEIGHTS["date"],
     )
-    right = tx.select("*", flat(
-        *[key(f"{t}{k}", c(t), cells) for t in ("t_vendor", "t_description") for k, cells in (("+amount", amount("tx_", True)), ("+day", day("tx_", True)), ("", one))],
-        *[key(f"amount@{p}", none, _amount_cells(c("tx_amount"), p, True)) for p, _, _ in tiers], key("day", none, _day_cells(c("tx_date"), alone, True)),
-    ))
-    kind = c("key.kind")
-    pairs = left.join(right, "key").select("*", (amount_score(c("amount"), c("tx_amount")) * WEIGHTS["amount"]).alias("a"), (date_score(c("date"), c("tx_date"), tolerance) * WEIGHTS["date"]).alias("d"))
-    # each pair is found by one kind of key
-    once = (
-        F.when(kind.startswith("amount@"), (c("a") >= c("bound")) & (c("d") == 0)).when(kind == "day", (c("d") >= c("bound")) & (c("a") == 0))
-        .when(kind.endswith("+amount"), (c("a") > 0) & (c("a") < c("bound")) & (c("d") == 0))
-        .when(kind.endswith("+day"), (c("d") > 0) & (c("d") < c("bound")) & (c("a") == 0)).otherwise((c("a") == 0) & (c("d") == 0))
-    )
-    found = _reaching(scored(pairs.where(once).drop("a", "d"), tolerance), c("bound")).where(~kind.startswith("t_description") | (c("vendor_score") == 0))
-    return found.drop("key")
 
 
-def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS) -> DataFrame:
+#: Cells (kind, percent, days) in which documents look for their first matches.
+_GRIDS = [("n", 1, -1), ("n", 1, 1), ("n", 5, 7), ("n", 5, -1), ("d", 1, -1), ("d", 5, 30), ("v", 20, 30), ("v", -1, -1)]
+#: Pairs up to which a floor of 0, which asks for all pairs, is admitted.
+ALL_PAIRS = 10_000_000
+
+
+def _owners(owner: Column) -> Column:
+    """An owner as a part of keys; nobody's is empty."""
+    return F.coalesce(F.concat(F.lit("="), owner.cast("string")), F.lit(""))
+
+
+def top_matches(docs: DataFrame, ledger: DataFrame, top: int = TOP, floor: int = FLOOR, tolerance: int = TOLERANCE_DAYS, owner: str | None = None, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """The best `top` transactions of every document, of all that score the floor or more; ties by later date, then ledger_id.
 
-    Returns document_id, tx_ledger_id, tx_date, the four scores, is_exact, total, reasons and rank. No pair
-    is left out: pairs close in amount and day come first, by joins on cells, and set the total that
-    any other pair of the document must reach; the others are looked up by what they need for that. A
-    floor of 0 or less asks for every pair, and compares every pair.
+    Returns document_id, tx_ledger_id, tx_date, the four scores, is_exact, total, reasons and rank. owner: a
+    column of both; a document then sees the transactions of its owner and of nobody (null), a document of nobody only the latter.
+    All owners are matched at once: the owner is a part of every key, documents visit nobody's keys besides, and no transaction is copied.
+
+    No pair is left out, and not all are compared: see pairing.best_partners(). Pairs without related texts are looked up by amount and day
+    alone, pairs with related descriptions or vendors (distinct texts that contain each other or share words) by the text too, each
+    as near as their bound demands; exact matches by amount and day. Transactions that differ in ledger_id only are
+    interchangeable, and only the first `top` of them take part. A floor of 0 or less asks for every pair and compares every pair;
+    it is refused for more pairs than all_pairs.
     """
+    c = F.col
+    o = (lambda p: _owners(c(f"{p}{owner}"))) if owner else (lambda p: F.lit(""))
     # each is read several times
-    d = checkpoint(prepared(docs).select("document_id", _units(F.col("amount")).alias("amount"), "date", "n_description", "n_words", "n_vendor", "n_source"))
-    t = checkpoint(prepared_ledger(ledger).select("tx_ledger_id", _units(F.col("tx_amount")).alias("tx_amount"), "tx_date", "t_description", "t_words", "t_vendor", "t_source", "t_destination"))
+    d = checkpoint(prepared(docs).select("document_id", _units(c("amount")).alias("amount"), c("date").cast("date").alias("date"), "n_description", "n_words", "n_vendor", "n_source", o("").alias("o")))
+    t = prepared_ledger(ledger).select("tx_ledger_id", _units(c("tx_amount")).alias("tx_amount"), c("tx_date").cast("date").alias("tx_date"), "t_description", "t_words", "t_vendor", "t_source", "t_destination", o("tx_").alias("tx_o"))
+    same = Window.partitionBy("tx_o", "tx_amount", "tx_date", "t_description", "t_source", "t_destination").orderBy("tx_ledger_id")
+    t = checkpoint(t.withColumn("nth", F.row_number().over(same)).where(c("nth") <= top).drop("nth"))
     out = ["document_id", "tx_ledger_id", "tx_date", *[f"{k}_score" for k in WEIGHTS], "is_exact", "total", "reasons"]
+    visits = F.explode(F.array_distinct(F.array("o", F.lit("")))).alias("o")
     if floor <= 0:
-        return _best(scored(d.crossJoin(t), tolerance).where(F.col("total") >= floor).select(out), top)
-    c = F.col
-    numbers = amount_score(c("amount"), c("tx_amount")) * WEIGHTS["amount"] + date_score(c("date"), c("tx_date"), tolerance) * WEIGHTS["date"]
-    texts = 1000 * (WEIGHTS["description"] + WEIGHTS["vendor"])
-    seed = checkpoint(_best(scored(_near(d, t, 5, tolerance).where(numbers >= floor), tolerance).select("document_id", "tx_ledger_id", "tx_date", "total"), top))
-    both = (amount_score(c("amount"), c("tx_amount")) > 0) & (date_score(c("date"), c("tx_date"), tolerance) > 0)
-    near = _near(_with_bound(d, seed, top, floor), t, 20, max(30, 2 * tolerance)).where(both & (numbers + texts >= c("bound")))
-    near = checkpoint(_best(_reaching(scored(near, tolerance), c("bound")).select(out), top))
-    far = _best(_far(_with_bound(d, near, top, floor), t, floor, tolerance).select(out), top)
-    return _best(near.drop("rank").unionByName(far.drop("rank")), top)
+        if (n := d.count() * t.count()) > all_pairs:
+            raise ValueError(f"a floor of {floor} compares all {n} pairs; raise all_pairs to allow it")
+        pairs = d.select(*[x for x in d.columns if x != "o"], visits).join(t, c("o") == c("tx_o"))
+        return _best(scored(pairs, tolerance).where(c("total") >= floor).select(out), top)
+    vendors, descriptions = _related(d, t)
+    dated = d.select("document_id", "amount", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "n_description", "n_vendor", visits)
+    most = descriptions.groupBy("n_description").agg(F.max("points").alias("most"))
+    names = [c("document_id").alias("id"), "o", "amount", "day"]
+    none = F.lit(0)
+    left = dated.select(*names, F.lit("n").alias("text"), none.alias("extra"), none.alias("more"), F.lit(None).cast("string").alias("detail")).unionByName(
+        dated.join(descriptions, "n_description").select(*names, F.concat(F.lit("d"), "t_description").alias("text"), c("points").alias("extra"), none.alias("more"), F.lit(None).cast("string").alias("detail"))
+    ).unionByName(
+        dated.join(vendors, "n_vendor").join(most, "n_description", "left").select(*names, F.concat(F.lit("v"), "t_vendor").alias("text"), c("points").alias("extra"), F.coalesce("most", none).alias("more"), c("n_description").alias("detail"))
+    )
+    right = t.select(
+        c("tx_ledger_id").alias("other"), c("tx_o").alias("o"), c("tx_amount").alias("amount"), F.datediff("tx_date", F.lit("1970-01-01").cast("date")).alias("day"), c("tx_date").alias("tie"), "t_description", "t_vendor",
+        c("t_description").alias("r_detail"),
+    )
 
+    def total(pairs: DataFrame) -> DataFrame:
+        a, b = c("detail"), c("r_detail")
+        described = F.when(a.isNotNull() & b.isNotNull(), _description(a, words(a), b, words(b)) * WEIGHTS["description"]).otherwise(0)
+        return pairs.withColumn("total", c("numbers") + c("extra") + described)
 
-def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
+    by_day = d.select(*[x for x in d.columns if x != "o"], visits).join(t, (c("o") == c("tx_o")) & (c("amount") == c("tx_amount")) & (c("date") == c("tx_date")))
+    exact = scored(by_day, tolerance).where("is_exact").select(c("document_id").alias("id"), c("tx_ledger_id").alias("other"), c("tx_date").alias("tie"), "total")
+    found = best_partners(checkpoint(left), right, _points(tolerance), top, floor, [c("tie").desc_nulls_last(), c("other")], _GRIDS, {"d": "t_description", "v": "t_vendor"}, total, exact.where(c("total") >= floor))
+    pairs = found.select(c("id").alias("document_id"), c("other").alias("tx_ledger_id"), "rank").join(d.drop("o"), "document_id").join(t.drop("tx_o"), "tx_ledger_id")
+    return scored(pairs, tolerance).select(*out, "rank")
+
+
+def reverse_matches(ledger: DataFrame, docs: DataFrame, top: int = TOP, owner: str | None = None) -> DataFrame:
     """The best documents of every transaction, by the reverse view's own formula of amount and date.
 
     Amounts count 600 if equal and 570, 480, 360, 240 below 1, 5, 10, 20 percent; dates 400, 360, 280, 200,
-    120 on the day and within 3, 7, 14, 30 days; from 200 on a pair counts. Pairs that have both come first;
-    those with one of them are only looked up where it can reach the last of `top` so far.
+    120 on the day and within 3, 7, 14, 30 days; from 200 on a pair counts. Ties by document_id. owner: as in top_matches(): an owner's
+    transactions meet its documents, nobody's transactions the documents of all.
     """
     c = F.col
-    gap, base = F.abs(c("amount") - c("tx_amount")) * 100, F.abs("tx_amount")
-    a = F.when(gap == 0, 600).when(gap < base, 570).when(gap < base * 5, 480).when(gap < base * 10, 360).when(gap < base * 20, 240).otherwise(0)
-    n = F.abs(F.datediff("date", "tx_date"))
-    day = F.when(n == 0, 400).when(n <= 3, 360).when(n <= 7, 280).when(n <= 14, 200).when(n <= 30, 120).otherwise(0)
-    a, day = F.coalesce(a, F.lit(0)), F.coalesce(day, F.lit(0))
-    d = docs.select("document_id", _units(F.col("amount")).alias("amount"), "date")
-    t = ledger.select(F.col("ledger_id").alias("tx_ledger_id"), _units(F.col("amount")).alias("tx_amount"), F.col("date").alias("tx_date"))
-    order = Window.partitionBy("tx_ledger_id").orderBy(F.desc("score"), "document_id")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        rows = pairs.select("document_id", "tx_ledger_id", (a + day).alias("score")).where("score >= 200")
-        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-    near = best(_near(d, t, 20, 30).where((a > 0) & (day > 0)))
-    full = near.groupBy("tx_ledger_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= top).select("tx_ledger_id", "least")
-    t = t.join(full, "tx_ledger_id", "left").withColumn("least", F.coalesce("least", F.lit(200)))
-    by_amount = d.select("*", F.explode(_amount_cells(c("amount"), 20)).alias("cell")).join(t.where("least <= 600").select("*", F.explode(_amount_cells(c("tx_amount"), 20, True)).alias("cell")), "cell").where((day == 0) & (a >= c("least")))
-    by_day = d.select("*", F.explode(_day_cells(c("date"), 14)).alias("cell")).join(t.where("least <= 400").select("*", F.explode(_day_cells(c("tx_date"), 14, True)).alias("cell")), "cell").where((a == 0) & (day >= c("least")))
-    every = near.unionByName(best(by_amount)).unionByName(best(by_day)).drop("rank")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    def amounts(tx: Column, doc: Column) -> Column:
+        gap, base = F.abs(doc - tx) * 100, F.abs(tx)
+        return F.coalesce(F.when(gap == 0, 600).when(gap < base, 570).when(gap < base * 5, 480).when(gap < base * 10, 360).when(gap < base * 20, 240), F.lit(0))
+
+    def days(n: Column) -> Column:
+        return F.coalesce(F.when(n == 0, 400).when(n <= 3, 360).when(n <= 7, 280).when(n <= 14, 200).when(n <= 30, 120), F.lit(0))
+
+    points = Points(((0, 600), (1, 570), (5, 480), (10, 360), (20, 240)), ((0, 400), (3, 360), (7, 280), (14, 200), (30, 120)), amounts, days)
+    o = _owners(c(owner)) if owner else F.lit("")
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day")
+    tx = ledger.select(c("ledger_id").alias("id"), o.alias("o"), _units(c("amount")).alias("amount"), day)
+    papers = docs.select(c("document_id").alias("other"), F.lit(None).cast("date").alias("tie"), o.alias("o"), _units(c("amount")).alias("amount"), day)
+    same = Window.partitionBy("o", "amount", "day").orderBy("other")
+    papers = papers.withColumn("nth", F.row_number().over(same)).where(c("nth") <= top).drop("nth")
+    if owner:  # nobody's transactions meet documents of all owners, under a key of their own
+        papers = papers.withColumn("o", F.explode(F.array(F.when(c("o") == "", "-").otherwise(c("o")), F.lit(""))))
+    zero = F.lit(0)
+    left = checkpoint(tx.select("*", F.lit("n").alias("text"), zero.alias("extra"), zero.alias("more")))
+    found = best_partners(left, checkpoint(papers), points, top, 200, [c("other")], [("n", 1, -1), ("n", 1, 3), ("n", 5, 14), ("n", 10, 30), ("n", 5, -1)])
+    return found.select(c("other").alias("document_id"), c("id").alias("tx_ledger_id"), c("total").alias("score"), "rank")
 
 
 def unambiguous(proposals: DataFrame, threshold: int = AUTO) -> DataFrame:

@@ -71,12 +71,12 @@ def auto_apply(spark, sf_dir):
 
 
 def reconcile_run(spark, sf_dir):
-    """The audit rows of a run over documents of one kind."""
+    """The audit rows of a run over all documents."""
     p, t = spark_views(spark, sf_dir, "proposal", "ledger")
     ledger = t.withColumn("document_id", F.when(F.col("match_status") == "MATCHED", F.col("ledger_id")))
     none = ledger.where("false").select("document_id", "ledger_id", F.lit(0).alias("total"))
     known = ledger.where("ledger_id % 8 = 1").select(F.col("ledger_id").alias("document_id"), "ledger_id")
-    return R.run(p.where("source_account = 'building'"), ledger, known, none, threshold=700_000).audit
+    return R.run(p, ledger, known, none, threshold=700_000).audit
 
 
 def trace_summary(spark, sf_dir):
@@ -90,7 +90,7 @@ QUERIES = {f.__name__: f for f in (payload_build, payload_rejects, payload_error
 _ACC = duckdb_views("proposal") + """, a AS (SELECT *, ['withdrawal', 'deposit', 'transfer'][document_id % 3 + 1] AS type, CASE WHEN document_id % 2 = 0 THEN source_account END AS src, CASE WHEN document_id % 4 <> 0 THEN vendor END AS cor,
   CASE WHEN document_id % 11 = 0 THEN 'date is required but empty' WHEN document_id % 7 = 0 THEN 'description is required but empty' WHEN document_id % 13 = 0 OR amount = 0 THEN 'amount is required but empty' END AS error FROM proposal)
 """
-_RUN = all_pairs(LIVE, "source_account = 'building' AND document_id NOT IN (SELECT ledger_id FROM ledger WHERE match_status = 'MATCHED')")
+_RUN = all_pairs(LIVE, "document_id NOT IN (SELECT ledger_id FROM ledger WHERE match_status = 'MATCHED')")
 ORACLE_SQL = {
     "payload_build": _ACC + """SELECT document_id, type, CAST(amount AS VARCHAR) AS amount, CASE WHEN type = 'deposit' THEN coalesce(src, cor, 'Unknown Source') ELSE coalesce(src, 'Checking Account') END AS source_name,
       CASE type WHEN 'withdrawal' THEN coalesce(cor, 'Unknown Merchant') WHEN 'deposit' THEN 'Checking Account' ELSE 'Unknown Account' END AS destination_name, 't,archive' AS tags,

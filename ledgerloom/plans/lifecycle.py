@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import histories as H
 from ..operators import lifecycle as L
 from ..operators import suggestions as S
 from ..sources.views import duckdb_views, spark_views
@@ -26,6 +27,28 @@ def job_transitions(spark, sf_dir):
     return L.job_actions(j, acts, _now()).select("job_id", "status", "completed_at")
 
 
+def job_histories(spark, sf_dir):
+    """Each document's job after all actions of its events, in order; every sixth job is new and has no retries left."""
+    j, = spark_views(spark, sf_dir, "job")
+    k = F.col("document_id")
+    none = lambda t: F.lit(None).cast(t)
+    jobs = j.select("document_id").distinct().select(
+        "document_id", _pick(k, *H.JOBS.states).alias("status"), (k % 3).cast("int").alias("retry_count"), F.when(k % 6 == 0, 0).otherwise(9).cast("int").alias("max_retries"),
+        none("timestamp").alias("started_at"), none("timestamp").alias("completed_at"), F.when(k % 5 == 3, "old").alias("error"), none("string").alias("result"),
+    )
+    acts = j.select("document_id", F.col("created_at").alias("ts"), "job_id", _pick(F.col("job_id"), "start", "complete", "start", "fail", "cancel", "retry", "start", "abort", "unknown", "retry").alias("action"), F.concat(F.lit("v"), F.col("job_id").cast("string")).alias("value"))
+    return H.replay(jobs, acts, "document_id", ["ts", "job_id"], H.JOBS, retries=("retry_count", "max_retries")).drop("max_retries")
+
+
+def import_histories(spark, sf_dir):
+    """Each user's imports after its events, a deleted one among them."""
+    j, = spark_views(spark, sf_dir, "job")
+    records = j.select(F.concat(F.lit("x"), F.col("document_id").cast("string")).alias("external_id"), F.lit("PENDING").alias("status"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(None).cast("string").alias("error")).distinct()
+    k = F.col("job_id")
+    acts = j.select(F.concat(F.lit("x"), F.col("document_id").cast("string")).alias("external_id"), F.col("created_at").alias("ts"), k, F.when(k % 97 == 0, "delete").otherwise(_pick(k, "success", "failure", "retry")).alias("action"), F.col("event_type").alias("value"))
+    return H.replay(records, acts, "external_id", ["ts", "job_id"], H.IMPORTS)
+
+
 def review_transitions(spark, sf_dir):
     e, = spark_views(spark, sf_dir, "extraction")
     k = F.col("document_id")
@@ -143,7 +166,7 @@ def import_sides(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    job_transitions, review_transitions, import_transitions, link_transitions, link_review_states, link_ledger_states, transfer_owners, transfer_cascade, inaccessible_records, vendor_mappings, documents_seen, audit_runs, audit_total,
+    job_transitions, job_histories, import_histories, review_transitions, import_transitions, link_transitions, link_review_states, link_ledger_states, transfer_owners, transfer_cascade, inaccessible_records, vendor_mappings, documents_seen, audit_runs, audit_total,
     completed_suggestions, split_suggestions, whitelisted_values, pending_imports, window_of_sync, import_sides,
 )}
 
@@ -151,7 +174,37 @@ _LINK = duckdb_views("linkage", "extraction", "ledger") + """, act AS (SELECT id
   CASE WHEN document_id % 3 = 0 THEN document_id END AS target FROM extraction WHERE document_id % 7 < 3) """
 _KNOWN = "CASE WHEN upper(category) IN ('A', 'R') THEN upper(category) END"
 
+# One step for each action in order: what a state admits, and what it sets. r: retries left.
+_JOB_FOLD = duckdb_views("job").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+  act AS (SELECT document_id AS k, row_number() OVER (PARTITION BY document_id ORDER BY created_at, job_id) AS n, created_at AS ts, concat('v', job_id) AS v,
+    ['start', 'complete', 'start', 'fail', 'cancel', 'retry', 'start', 'abort', 'unknown', 'retry'][job_id % 10 + 1] AS a FROM job),
+  fold AS (
+    SELECT DISTINCT document_id AS k, 0::BIGINT AS n, ['PENDING', 'PROCESSING', 'COMPLETED', 'FAILED', 'CANCELLED'][document_id % 5 + 1] AS status, CAST(document_id % 3 AS INT) AS retry_count,
+      greatest(CASE WHEN document_id % 6 = 0 THEN 0 ELSE 9 END - document_id % 3, 0) AS r, CAST(NULL AS TIMESTAMP) AS started_at, CAST(NULL AS TIMESTAMP) AS completed_at,
+      CASE WHEN document_id % 5 = 3 THEN 'old' END AS error, CAST(NULL AS VARCHAR) AS result, 0::BIGINT AS admitted FROM job
+    UNION ALL
+    SELECT k, n, CASE WHEN NOT ok THEN status WHEN a = 'start' THEN 'PROCESSING' WHEN a = 'complete' THEN 'COMPLETED' WHEN a = 'cancel' THEN 'CANCELLED' WHEN a = 'fail' AND r = 0 OR a = 'abort' THEN 'FAILED' ELSE 'PENDING' END,
+      retry_count + CASE WHEN a = 'fail' AND r > 0 THEN 1 ELSE 0 END, r - CASE WHEN a = 'fail' AND r > 0 THEN 1 ELSE 0 END,
+      CASE WHEN NOT ok OR a NOT IN ('start', 'retry') THEN started_at WHEN a = 'start' THEN ts END, CASE WHEN NOT ok OR a = 'start' THEN completed_at WHEN a <> 'retry' THEN ts END,
+      CASE WHEN NOT ok OR a NOT IN ('fail', 'abort', 'retry') THEN error WHEN a <> 'retry' THEN v END, CASE WHEN ok AND a = 'complete' THEN v ELSE result END, admitted + CAST(ok AS BIGINT)
+    FROM (SELECT f.* EXCLUDE (n), act.n, ts, v, a, a IN ('fail', 'abort') OR a = 'start' AND status = 'PENDING' OR a = 'complete' AND status = 'PROCESSING' OR a = 'cancel' AND status IN ('PENDING', 'PROCESSING') OR a = 'retry' AND status = 'FAILED' AS ok
+      FROM fold f JOIN act ON act.k = f.k AND act.n = f.n + 1))
+  SELECT k AS document_id, status, retry_count, started_at, completed_at, error, result, n AS actions, admitted FROM fold QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1"""
+_IMPORT_FOLD = duckdb_views("job").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+  act AS (SELECT document_id AS k, row_number() OVER (PARTITION BY document_id ORDER BY created_at, job_id) AS n, created_at AS ts, event_type AS v,
+    CASE WHEN job_id % 97 = 0 THEN 'delete' ELSE ['success', 'failure', 'retry'][job_id % 3 + 1] END AS a FROM job),
+  fold AS (
+    SELECT DISTINCT document_id AS k, 0::BIGINT AS n, 'PENDING' AS status, CAST(NULL AS TIMESTAMP) AS completed_at, CAST(NULL AS VARCHAR) AS error, 0::BIGINT AS admitted FROM job
+    UNION ALL
+    SELECT f.k, act.n, CASE WHEN a = 'delete' OR status = 'DELETED' THEN 'DELETED' WHEN a = 'success' THEN 'IMPORTED' WHEN a = 'failure' THEN 'FAILED' ELSE 'PENDING' END,
+      CASE WHEN a = 'success' AND status <> 'DELETED' THEN ts ELSE completed_at END, CASE WHEN a = 'delete' OR status = 'DELETED' THEN error WHEN a = 'failure' THEN v END,
+      admitted + CASE WHEN a = 'delete' OR status <> 'DELETED' THEN 1 ELSE 0 END
+    FROM fold f JOIN act ON act.k = f.k AND act.n = f.n + 1)
+  SELECT concat('x', k) AS external_id, status, completed_at, error, n AS actions, admitted FROM fold QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1"""
+
 ORACLE_SQL = {
+    "job_histories": _JOB_FOLD,
+    "import_histories": _IMPORT_FOLD,
     "job_transitions": duckdb_views("job") + f""", a AS (SELECT *, CASE WHEN job_id % 11 < 6 THEN job_id % 4 END AS k FROM job), b AS (SELECT *, CASE WHEN k = 0 AND status = 'PENDING' THEN 'PROCESSING' WHEN k = 1 AND status = 'PROCESSING' THEN 'COMPLETED'
       WHEN k = 2 AND status IN ('PENDING', 'PROCESSING') THEN 'CANCELLED' WHEN k = 3 AND status = 'FAILED' THEN 'PENDING' END AS t FROM a)
       SELECT job_id, coalesce(t, status) AS status, CASE WHEN t IN ('COMPLETED', 'CANCELLED') THEN TIMESTAMP '{NOW}' WHEN t = 'PENDING' THEN NULL ELSE completed_at END AS completed_at FROM b""",

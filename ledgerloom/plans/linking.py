@@ -34,6 +34,19 @@ def match_topk(spark, sf_dir):
     return _top(spark, sf_dir).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total", "is_exact", "rank")
 
 
+def match_by_owner(spark, sf_dir):
+    """All owners at once: each document with its owner's transactions and nobody's."""
+    docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
+    found = M.top_matches(docs, _live(ledger), owner="user_id")
+    return found.select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total", "is_exact", "rank")
+
+
+def reverse_by_owner(spark, sf_dir):
+    """The reverse view of every owner's transactions."""
+    docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
+    return M.reverse_matches(_live(ledger), docs, owner="user_id").select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "score", "rank")
+
+
 def match_exact(spark, sf_dir):
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
     return M.exact_matches(docs, ledger.where("deleted_at is null")).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total")
@@ -61,7 +74,7 @@ def proposals_new(spark, sf_dir):
     return found.join(linked, "document_id", "left_anti").join(known, ["document_id", "ledger_id"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (match_topk, match_signals, score_candidate, match_exact, match_reverse, auto_link_unambiguous, proposals_new)}
+QUERIES = {f.__name__: f for f in (match_topk, match_by_owner, reverse_by_owner, match_signals, score_candidate, match_exact, match_reverse, auto_link_unambiguous, proposals_new)}
 
 _AMOUNT = """CASE WHEN amount = tx_amount THEN 1000 WHEN tx_amount = 0 THEN 0 WHEN abs(amount - tx_amount) * 100 <= abs(tx_amount) THEN 950
   WHEN abs(amount - tx_amount) * 100 <= abs(tx_amount) * 5 THEN 700 WHEN abs(amount - tx_amount) * 100 <= abs(tx_amount) * 10 THEN 400
@@ -73,7 +86,7 @@ _VENDOR = """CASE WHEN vendor = tx_vendor THEN 1000 WHEN contains(vendor, tx_ven
   WHEN split_part(vendor, ' ', 1) = split_part(tx_vendor, ' ', 1) THEN 600 ELSE 0 END"""
 _ACCOUNT = """coalesce(contains(vendor, tx_source) OR contains(tx_source, vendor), false) OR coalesce(contains(vendor, tx_dest) OR contains(tx_dest, vendor), false) OR coalesce(source_account = tx_source, false)"""
 _TX = """tx AS (SELECT ledger_id, amount AS tx_amount, date AS tx_date, description AS tx_description, source_account AS tx_source,
-  destination_account AS tx_dest, coalesce(destination_account, source_account) AS tx_vendor, match_status, deleted_at FROM {ledger})"""
+  destination_account AS tx_dest, coalesce(destination_account, source_account) AS tx_vendor, match_status, deleted_at{more} FROM {ledger})"""
 
 
 def _scored(pairs: str, docs: str = "proposal") -> str:
@@ -89,27 +102,40 @@ def _scored(pairs: str, docs: str = "proposal") -> str:
 
 def all_pairs(live: str, docs: str = "true") -> str:
     """Scores of every document with every transaction, as t."""
-    return duckdb_views("proposal", "ledger") + f", {_TX.format(ledger='ledger')}, " + _scored(f"SELECT * FROM proposal, tx WHERE ({live}) AND ({docs})")
+    return duckdb_views("proposal", "ledger") + f", {_TX.format(ledger='ledger', more=', user_id AS tx_user')}, " + _scored(f"SELECT * FROM proposal, tx WHERE ({live}) AND ({docs})")
 
 
-_SAME = duckdb_views("proposal", "ledger") + f", {_TX.format(ledger='ledger')}, " + _scored("SELECT * FROM proposal JOIN tx ON document_id = ledger_id")
-# below a total of 0.75 nothing counts here, and without an amount score the others reach 0.60 at most
-_PAPER = duckdb_views("paper", "bank") + f", {_TX.format(ledger='bank')}, " + _scored("SELECT * FROM paper, tx WHERE abs(amount - tx_amount) * 100 <= abs(tx_amount) * 20", "paper")
+_SAME = duckdb_views("proposal", "ledger") + f", {_TX.format(ledger='ledger', more=', user_id AS tx_user')}, " + _scored("SELECT * FROM proposal JOIN tx ON document_id = ledger_id")
+# Below a total of 0.75 nothing counts here. Texts give 0.35 at most, so amounts and days must give 0.40, and an amount must be within 10
+# percent: it lies in the bucket of 100 of the other's or, counted by logarithm in steps of 10.6 percent, in the next.
+_PAPER = duckdb_views("paper", "bank") + f""", {_TX.format(ledger='bank', more='')},
+    near AS (SELECT paper.* EXCLUDE (bucket), tx.* EXCLUDE (bucket) FROM (SELECT *, unnest([-1, 0, 1]) + CAST(floor(ln(amount) / 0.1065) AS BIGINT) AS bucket FROM paper WHERE amount > 0) paper
+      JOIN (SELECT *, CAST(floor(ln(tx_amount) / 0.1065) AS BIGINT) AS bucket FROM tx WHERE tx_amount > 0) tx USING (bucket) WHERE abs(amount - tx_amount) * 100 <= abs(tx_amount) * 10), """ + _scored("SELECT * FROM near", "paper")
+#: What a document sees: its owner's transactions and nobody's.
+OWNED = "(tx_user = user_id OR tx_user IS NULL)"
 LIVE = "match_status = 'UNMATCHED' AND deleted_at IS NULL"
 RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY total DESC, tx_date DESC NULLS LAST, ledger_id) AS rank FROM t WHERE total >= 200000), best AS (SELECT * FROM ranked WHERE rank <= 5)"
+
+
+def _reverse(owned: str) -> str:
+    return duckdb_views("proposal", "ledger") + f""", {_TX.format(ledger='ledger', more=', user_id AS tx_user')}, p AS (SELECT document_id, ledger_id, amount, tx_amount, abs(date_diff('day', date, tx_date)) AS days FROM proposal, tx WHERE {LIVE} AND {owned}), r AS (SELECT document_id, ledger_id,
+      CASE WHEN amount = tx_amount THEN 600 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) THEN 570 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 5 THEN 480
+           WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 10 THEN 360 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 20 THEN 240 ELSE 0 END
+      + CASE WHEN days = 0 THEN 400 WHEN days <= 3 THEN 360 WHEN days <= 7 THEN 280 WHEN days <= 14 THEN 200 WHEN days <= 30 THEN 120 ELSE 0 END AS score FROM p),
+      n AS (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY score DESC, document_id) AS rank FROM r WHERE score >= 200)
+      SELECT document_id, ledger_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM n WHERE rank <= 5"""
+
+
 ORACLE_SQL = {
     "match_signals": _SAME + """SELECT document_id, amount_score, CAST(date_score AS INT) AS date_score, description_score, vendor_score, is_exact, CAST(total AS INT) AS total,
       concat_ws(',', CASE WHEN is_exact THEN 'EXACT_MATCH' END, CASE WHEN amount_score > 500 THEN 'amount' END, CASE WHEN date_score > 500 THEN 'date' END,
       CASE WHEN description_score > 500 THEN 'description' END, CASE WHEN vendor_score > 500 THEN 'vendor' END) AS reasons FROM t""",
     "score_candidate": _SAME + "SELECT document_id, CAST(weighted AS INT) AS total FROM t",
     "match_topk": all_pairs(LIVE) + RANKED + " SELECT document_id, ledger_id, CAST(total AS INT) AS total, is_exact, CAST(rank AS INT) AS rank FROM best",
+    "match_by_owner": all_pairs(LIVE, OWNED) + RANKED + " SELECT document_id, ledger_id, CAST(total AS INT) AS total, is_exact, CAST(rank AS INT) AS rank FROM best",
+    "reverse_by_owner": _reverse(OWNED),
     "match_exact": all_pairs("deleted_at IS NULL") + " SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM t WHERE is_exact",
-    "match_reverse": duckdb_views("proposal", "ledger") + f""", {_TX.format(ledger='ledger')}, p AS (SELECT document_id, ledger_id, amount, tx_amount, abs(date_diff('day', date, tx_date)) AS days FROM proposal, tx WHERE {LIVE}), r AS (SELECT document_id, ledger_id,
-      CASE WHEN amount = tx_amount THEN 600 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) THEN 570 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 5 THEN 480
-           WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 10 THEN 360 WHEN abs(amount - tx_amount) * 100 < abs(tx_amount) * 20 THEN 240 ELSE 0 END
-      + CASE WHEN days = 0 THEN 400 WHEN days <= 3 THEN 360 WHEN days <= 7 THEN 280 WHEN days <= 14 THEN 200 WHEN days <= 30 THEN 120 ELSE 0 END AS score FROM p),
-      n AS (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY score DESC, document_id) AS rank FROM r WHERE score >= 200)
-      SELECT document_id, ledger_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM n WHERE rank <= 5""",
+    "match_reverse": _reverse("true"),
     "auto_link_unambiguous": _PAPER + RANKED.replace("200000", "750000") + """, c AS (SELECT *, count(*) OVER (PARTITION BY ledger_id) AS strong FROM best)
       SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM c WHERE strong = 1""",
     "proposals_new": all_pairs(LIVE) + RANKED + """ SELECT document_id, ledger_id, CAST(total AS INT) AS total FROM best

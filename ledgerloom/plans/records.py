@@ -167,7 +167,7 @@ def reconcile_counts(spark, sf_dir):
     ledger = t.withColumn("document_id", F.when(F.col("match_status") == "MATCHED", F.col("ledger_id")))
     none = ledger.where("false").select("document_id", "ledger_id", F.lit(0).alias("total"))
     fetched = t.where("ledger_id % 3 = 0").withColumn("description", F.lit("synced payment"))
-    return R.reconcile(ledger, fetched, p.where("document_id % 20 = 3"), none, none, threshold=700_000).counters
+    return R.reconcile(ledger, fetched, p, none, none, threshold=700_000).counters
 
 
 def manual_payloads(spark, sf_dir):
@@ -386,8 +386,8 @@ ORACLE_SQL = {
     "ledger_texts": duckdb_views("proposal") + "SELECT document_id, CASE WHEN document_id % 4 < 3 THEN CAST(amount AS DOUBLE) END AS amount, CASE WHEN document_id % 3 < 2 THEN date END AS date FROM proposal",
     "reset_proposals": duckdb_views("ledger") + "SELECT ledger_id AS document_id, CASE WHEN match_status = 'PROPOSED' THEN 'PENDING' ELSE 'ACCEPTED' END AS status FROM ledger WHERE NOT (ledger_id % 6 = 0 AND match_status = 'PROPOSED')",
     "reset_ledger": duckdb_views("ledger") + "SELECT ledger_id, CASE WHEN ledger_id % 6 = 0 AND match_status = 'PROPOSED' THEN 'UNMATCHED' ELSE match_status END AS match_status FROM ledger",
-    "reconcile_counts": duckdb_views("proposal", "ledger") + f""", merged AS (SELECT * REPLACE (CASE WHEN ledger_id % 3 = 0 THEN 'synced payment' ELSE description END AS description) FROM ledger), {_TX.format(ledger='merged')},
-      """ + _scored(f"SELECT * FROM proposal, tx WHERE ({LIVE}) AND document_id % 20 = 3 AND document_id NOT IN (SELECT ledger_id FROM ledger WHERE match_status = 'MATCHED')") + RANKED + """, c AS (SELECT *, count(*) FILTER (total >= 700000) OVER (PARTITION BY ledger_id) AS strong FROM best)
+    "reconcile_counts": duckdb_views("proposal", "ledger") + f""", merged AS (SELECT * REPLACE (CASE WHEN ledger_id % 3 = 0 THEN 'synced payment' ELSE description END AS description) FROM ledger), {_TX.format(ledger='merged', more='')},
+      """ + _scored(f"SELECT * FROM proposal, tx WHERE ({LIVE}) AND document_id NOT IN (SELECT ledger_id FROM ledger WHERE match_status = 'MATCHED')") + RANKED + """, c AS (SELECT *, count(*) FILTER (total >= 700000) OVER (PARTITION BY ledger_id) AS strong FROM best)
       SELECT 'transactions_synced' AS metric, count(*) AS n FROM ledger WHERE ledger_id % 3 = 0 UNION ALL SELECT 'proposals_created', count(*) FROM best UNION ALL SELECT 'auto_linked', count(*) FROM c WHERE strong = 1 AND total >= 700000""",
     "manual_payloads": duckdb_views("ledger") + """, r AS (SELECT ledger_id AS k, CASE WHEN ledger_id % 27 = 0 THEN -ledger_id - 1 ELSE ledger_id END AS document_id, CASE WHEN ledger_id % 27 = 0 THEN 'Document extraction not found' WHEN match_status = 'MATCHED' THEN concat('Document already linked to transaction ', ledger_id) END AS error FROM ledger WHERE ledger_id % 3 = 0)
       SELECT document_id, error, CASE WHEN error IS NULL THEN concat(CASE WHEN k % 6 = 0 THEN 'seen' ELSE '' END, ' MANUAL TRANSACTION - ', CASE WHEN k % 2 = 0 THEN 'Cash payment without bank booking. ' ELSE 'No matching bank transaction. ' END, CASE WHEN k % 9 = 0 THEN 'kiosk' ELSE '' END) END AS notes FROM r""",
