@@ -74,31 +74,35 @@ LINKS = Machine(
 )
 
 
+def advance(machine: Machine, status: str, left: int, action: str | None, ts: int | None, value: str | None) -> tuple[str, int, dict] | None:
+    """The state and retries left after an action, and the columns it sets; None if the state does not admit it."""
+    step = machine.steps.get(action)
+    if step is None or (step.sources is not None and status not in step.sources):
+        return None
+    columns = {c: {"ts": ts, "value": value}[v] for c, v in step.sets.items()} | dict.fromkeys(step.clears)
+    if step.spent is None:
+        return step.target, left, columns
+    return (step.target, left - 1, columns) if left else (step.spent, 0, columns)
+
+
 class Stretch:
-    """What a stretch of a history does to each state that it may meet: a row (state, columns set, values, admitted) for each."""
+    """What a stretch of a history does to each state that it may meet: a row (status, retries left, columns set, admitted) for each."""
 
     def __init__(self, machine: Machine, retries: int):
         self.machine, self.retries = machine, retries
-        self.rows = [[s, {}, 0] for s in range(len(machine.states) * (retries + 1))]
+        self.rows = [[s, n, {}, 0] for s in machine.states for n in range(retries + 1)]
 
     def add(self, action: str | None, ts: int | None, value: str | None) -> None:
-        step = self.machine.steps.get(action)
-        if step is None:
-            return
         for row in self.rows:
-            status, left = divmod(row[0], self.retries + 1)
-            if step.sources is None or self.machine.states[status] in step.sources:
-                target, spend = step.target, 0
-                if step.spent is not None:
-                    target, spend = (step.target, 1) if left else (step.spent, 0)
-                row[0] = self.machine.states.index(target) * (self.retries + 1) + left - spend
-                row[1].update({c: {"ts": ts, "value": value}[v] for c, v in step.sets.items()} | dict.fromkeys(step.clears))
-                row[2] += 1
+            if (to := advance(self.machine, row[0], row[1], action, ts, value)) is not None:
+                row[0], row[1] = to[:2]
+                row[2].update(to[2])
+                row[3] += 1
 
     def table(self) -> list[tuple]:
         out = []
-        for to, columns, admitted in self.rows:
-            out.append((to, admitted, [c in columns for c in self.machine.columns], [None if columns.get(c) is None else str(columns[c]) for c in self.machine.columns]))
+        for status, left, columns, admitted in self.rows:
+            out.append((self.machine.states.index(status) * (self.retries + 1) + left, admitted, [c in columns for c in self.machine.columns], [None if columns.get(c) is None else str(columns[c]) for c in self.machine.columns]))
         return out
 
 
