@@ -61,6 +61,40 @@ def display_name(entity: Column, data: Column) -> Column:
     )
 
 
+def _holds(v: Column, kind: Column) -> Column:
+    """Whether a JSON value counts as something: not null, false, 0, or empty."""
+    number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+    return (
+        F.when(v.isNull() | (kind == "VOID"), False).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(number, F.try_variant_get(v, "$", "double") != 0).otherwise(~F.to_json(v).isin("[]", "{}"))
+    )
+
+
+def tags(raw: Column) -> Column:
+    """Tags of JSON of any shape: struct of tags (null if there are none) and error.
+
+    A list may mix strings, objects with `tag` or, where that is empty, `name`, and anything else, which is passed over like empty
+    strings and nulls. Null, JSON null and an empty list have no tags. Any other value is an error, and so is text that is not JSON.
+    """
+    v = F.try_parse_json(raw)
+    kind = F.schema_of_variant(v)
+    string = lambda x, k: F.when((k == "STRING") & (F.try_variant_get(x, "$", "string") != ""), F.try_variant_get(x, "$", "string"))
+
+    def one(x: Column) -> Column:
+        of, tag, name = F.schema_of_variant(x), F.try_variant_get(x, "$.tag", "variant"), F.try_variant_get(x, "$.name", "variant")
+        k, n = F.schema_of_variant(tag), F.schema_of_variant(name)
+        return F.when(of.startswith("OBJECT"), F.when(_holds(tag, k), string(tag, k)).otherwise(string(name, n))).otherwise(string(x, of))
+
+    kept = F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), one))
+    # The names that an error gives to types.
+    python = F.when(kind.startswith("OBJECT"), "dict").when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").otherwise("float")
+    error = (
+        F.when(raw.isNull() | (kind == "VOID") | kind.startswith("ARRAY"), F.lit(None)).when(v.isNull(), "Tags are not JSON")
+        .otherwise(F.concat(F.lit("Unexpected tags format: expected list or None, got "), python))
+    )
+    return F.struct(F.when(F.size(kept) > 0, kept).alias("tags"), error.cast("string").alias("error"))
+
+
 def accounts(df: DataFrame, kind: str | None = None) -> DataFrame:
     """Accounts of a type, or all; every page of them."""
     return df if kind is None else df.where(F.col("type") == kind)

@@ -251,3 +251,22 @@ def unambiguous(proposals: DataFrame, threshold: int = AUTO) -> DataFrame:
     """Pending proposals to link by themselves: the only one of their transaction at or above the threshold."""
     strong = F.count_if(F.col("total") >= threshold).over(Window.partitionBy("ledger_id"))
     return proposals.where("status = 'PENDING'").withColumn("strong", strong).where((F.col("strong") == 1) & (F.col("total") >= threshold)).drop("strong")
+
+
+def proposals(found: DataFrame, threshold: int = AUTO) -> DataFrame:
+    """Proposals of matches: AUTO_MATCHED from the threshold on and where the match is exact, else PENDING."""
+    status = F.when((F.col("total") >= threshold) | F.col("is_exact"), "AUTO_MATCHED").otherwise("PENDING")
+    return found.select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total", "is_exact", "reasons", "rank", status.alias("status"))
+
+
+def auto_matched(ledger: DataFrame, made: DataFrame) -> DataFrame:
+    """ledger (ledger_id, match_status, document_id, ...) after AUTO_MATCHED proposals: rows are MATCHED with the document that proposes them last.
+
+    Documents propose in order of document_id. match_confidence is the total of that proposal; null where the ledger's row stays as it is.
+    """
+    last = made.where("status = 'AUTO_MATCHED'").groupBy("ledger_id").agg(F.max(F.struct("document_id", "total")).alias("__m"))
+    out = ledger.join(last, "ledger_id", "left")
+    hit = F.col("__m").isNotNull()
+    return out.withColumns({
+        "match_status": F.when(hit, "MATCHED").otherwise(F.col("match_status")), "document_id": F.coalesce("__m.document_id", "document_id"), "match_confidence": F.col("__m.total"),
+    }).drop("__m")

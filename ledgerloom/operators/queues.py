@@ -70,16 +70,31 @@ def job_page(jobs: DataFrame, limit: int, offset: int) -> DataFrame:
     return jobs.orderBy(rank, F.desc("priority"), "job_id").offset(offset).limit(limit)
 
 
+def _in_turn(jobs: DataFrame, profiles: DataFrame, last: DataFrame, now: Column, hour: int) -> DataFrame:
+    """Pending jobs of users whose schedule is on, whose hours are active and whose interval has passed."""
+    active = F.when(F.col("from_hour") <= F.col("to_hour"), F.lit(hour).between(F.col("from_hour"), F.col("to_hour") - 1)).otherwise((F.lit(hour) >= F.col("from_hour")) | (F.lit(hour) < F.col("to_hour")))
+    free = F.col("last_run").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_run") >= F.col("interval_minutes") * 60)
+    return jobs.where("status = 'PENDING'").join(profiles.where("enabled"), "user_id").join(last, "user_id", "left").where(active & free)
+
+
 def fair_pick(jobs: DataFrame, profiles: DataFrame, runs: DataFrame, now: Column, hour: int) -> DataFrame:
     """The first job of every user whose schedule is on, whose hours are active and whose interval has passed."""
     last = runs.groupBy("user_id").agg(F.max("ts").alias("last_run"))
-    active = F.when(F.col("from_hour") <= F.col("to_hour"), F.lit(hour).between(F.col("from_hour"), F.col("to_hour") - 1)).otherwise((F.lit(hour) >= F.col("from_hour")) | (F.lit(hour) < F.col("to_hour")))
-    free = F.col("last_run").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_run") >= F.col("interval_minutes") * 60)
-    ready = jobs.where("status = 'PENDING'").join(profiles.where("enabled"), "user_id").join(last, "user_id", "left").where(active & free)
+    ready = _in_turn(jobs, profiles, last, now, hour)
     order = Window.partitionBy("user_id").orderBy(F.desc("priority"), "job_id")
     return ready.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def next_of_all(jobs: DataFrame, profiles: DataFrame, runs: DataFrame, now: Column, hour: int) -> DataFrame:
+    """The one job to run next: of all users whose turn it is, the first that is due, by priority, then unscheduled ones, then the oldest.
+
+    Whose turn it is, profiles and last runs say as in fair_pick(); they are joined before anything is cut, so users out of turn
+    don't hold back others however many jobs they have.
+    """
+    last = runs.groupBy("user_id").agg(F.max("ts").alias("last_run"))
+    return next_jobs(_in_turn(jobs, profiles, last, now, hour), now, 1)
+
+
 def old_jobs(jobs: DataFrame, cutoff: Column) -> DataFrame:
     return jobs.where(F.col("status").isin("COMPLETED", "FAILED", "CANCELLED") & (F.col("completed_at") < cutoff))
 

@@ -99,7 +99,9 @@ def sink_rows(spark, sf_dir):
 def ledger_updates(spark, sf_dir):
     t, = spark_views(spark, sf_dir, "ledger")
     k = F.col("ledger_id")
-    changes = t.where(k % 3 == 0).select("ledger_id", F.when(k % 2 == 0, "linked").alias("note"), F.concat(F.lit("n"), _str("ledger_id")).alias("external_id"))
+    each = lambda seq, note, id_: t.where(k % 3 == 0).select("ledger_id", F.lit(seq).alias("seq"), note.alias("note"), id_.alias("external_id"))
+    changes = each(3, F.when(k % 2 == 0, "checked"), F.lit("late")).unionByName(each(1, F.when(k % 2 == 0, "linked"), F.when(k % 9 == 0, F.concat(F.lit("n"), _str("ledger_id"))))).unionByName(
+        each(2, F.lit("linked"), F.concat(F.lit("m"), _str("ledger_id"))))
     return T.updated(t, changes).select("ledger_id", "notes", "external_id")
 
 
@@ -375,8 +377,8 @@ ORACLE_SQL = {
     "entities_created": """WITH labelled AS (SELECT *, concat(p_type, ' ', p_brand) AS label FROM part), new AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(label) WHEN p_partkey % 37 <> 0 THEN label END AS name, p_size FROM labelled), r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY name, p_size) AS n FROM new WHERE name IS NOT NULL)
       SELECT name, p_size FROM r WHERE n = 1 AND lower(name) NOT IN (SELECT lower(label) FROM labelled WHERE p_partkey % 9 = 0)""",
     "sink_rows": duckdb_views("imports") + "SELECT concat('x', o_orderkey) AS external_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE concat('x', o_orderkey) NOT IN (SELECT external_id FROM imports WHERE status = 'IMPORTED')",
-    "ledger_updates": duckdb_views("ledger") + """SELECT ledger_id, CASE WHEN ledger_id % 6 = 0 THEN CASE WHEN notes IS NULL THEN 'linked' ELSE concat(notes, chr(10), 'linked') END ELSE notes END AS notes,
-      CASE WHEN ledger_id % 3 = 0 AND external_id IS NULL THEN concat('n', ledger_id) ELSE external_id END AS external_id FROM ledger""",
+    "ledger_updates": duckdb_views("ledger") + """SELECT ledger_id, CASE WHEN ledger_id % 3 = 0 THEN concat_ws(chr(10), notes, 'linked', CASE WHEN ledger_id % 2 = 0 THEN 'checked' END) ELSE notes END AS notes,
+      CASE WHEN ledger_id % 3 = 0 AND external_id IS NULL THEN concat(CASE WHEN ledger_id % 9 = 0 THEN 'n' ELSE 'm' END, ledger_id) ELSE external_id END AS external_id FROM ledger""",
     "extraction_assembled": _READ + """, y AS (SELECT *, s * 0.4 + s * 0.3 + s * 0.2 + 0.5 * 0.1 AS overall FROM x) SELECT document_id, CASE WHEN k % 3 = 0 THEN 'deposit' ELSE 'withdrawal' END AS type, d AS date, CAST(a AS DOUBLE) AS amount, CASE WHEN k % 6 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
       CASE WHEN k % 8 < 4 THEN description WHEN k % 4 <> 0 THEN concat('scan ', k) ELSE concat('Document ', k) END AS description, CASE WHEN k % 3 <> 0 THEN 'Checking Account' END AS source_account, CASE WHEN k % 13 <> 0 THEN vendor ELSE 'Corr' END AS destination_account,
       concat('Extracted from document ', k, CASE WHEN k % 9 = 0 THEN concat('; Invoice: INV-', k) ELSE '' END) AS notes, concat('archive:', k, ':', substr(sha256(CAST(k AS VARCHAR)), 1, 16), ':', CAST(CAST(a AS DECIMAL(18,2)) AS VARCHAR), ':', d) AS external_id,

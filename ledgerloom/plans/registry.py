@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import identity, ledgering, lifecycle, linking, queues, records, texts
+from . import catalogs, identity, ledgering, lifecycle, linking, queues, records, texts
 
-MODULES = (linking, identity, queues, texts, ledgering, lifecycle, records)
+MODULES = (linking, identity, queues, texts, ledgering, lifecycle, records, catalogs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

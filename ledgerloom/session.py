@@ -39,17 +39,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared checkpoint folder of the session; its plan starts there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which the driver and all executors share.
 
     A folder is only set here if neither the session nor the context has one, and only for a local
     master, whose executors share the driver's disk; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared checkpoint folder of the session; its plan starts there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

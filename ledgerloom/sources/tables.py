@@ -83,11 +83,16 @@ def holding_external_id(splits: DataFrame, ids: DataFrame) -> DataFrame:
     return splits.join(splits.join(ids.select("external_id").distinct(), "external_id", "left_semi").select("group_id").distinct(), "group_id", "left_semi")
 
 
-def updated(ledger: DataFrame, changes: DataFrame) -> DataFrame:
-    """ledger (ledger_id, notes, external_id, ...) after changes (ledger_id, note, external_id): notes are appended, ids set only where none is.
+def updated(ledger: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
+    """ledger (ledger_id, notes, external_id, ...) after changes (ledger_id, note, external_id, and the column of order).
 
-    Of several changes of one row, notes count in their order, and so does the first id.
+    A row's notes are appended in order, each unless the notes so far hold it; the first external_id is set where none is.
+    Changes of the same order follow each other by note.
     """
-    once = changes.groupBy("ledger_id").agg(F.array_join(F.array_sort(F.collect_set("note")), "\n").alias("__note"), F.min("external_id").alias("__id"))
+    some = F.coalesce(F.col("note"), F.lit("")) != ""
+    once = changes.groupBy("ledger_id").agg(
+        F.array_sort(F.collect_list(F.when(some, F.struct(order, "note")))).alias("__notes"), F.min(F.when(F.coalesce("external_id", F.lit("")) != "", F.struct(order, "external_id"))).alias("__id"),
+    )
     out = ledger.join(once, "ledger_id", "left")
-    return out.withColumn("notes", F.when(F.coalesce("__note", F.lit("")) == "", F.col("notes")).otherwise(append_note(F.col("notes"), F.col("__note")))).withColumn("external_id", set_once(F.col("external_id"), F.col("__id"))).drop("__note", "__id")
+    notes = F.aggregate(F.coalesce("__notes", F.array()), F.col("notes"), lambda a, n: append_note(a, n["note"]))
+    return out.withColumn("notes", notes).withColumn("external_id", set_once(F.col("external_id"), F.col("__id.external_id"))).drop("__notes", "__id")
