@@ -59,18 +59,18 @@ def tokens(text: Column, starts: bool) -> Column:
     return F.split(F.rtrim(template(text, True, starts)), " ")
 
 
-def windows(texts: DataFrame, name: str) -> DataFrame:
+def windows(texts: DataFrame, name: str, values: bool = False) -> DataFrame:
     """(name, pos, window, kinds): a hash of every run of five words, in either template.
 
     One pattern yields all runs: at each word it looks ahead over five and steps on by one. A run with
     words that may be names has a window for each template, any other one for both; kinds are bits, 1
-    for literal words and 2 for names.
+    for literal words and 2 for names. values: placeholders keep their values, so that only equal numbers and names match.
     """
-    runs = F.regexp_extract_all(marked(F.col("text"), False), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
+    runs = F.regexp_extract_all(marked(F.col("text"), values), F.lit(rf"(?=((?:\S++ ){{{WORDS}}}))\S++ "), 1)
     each = texts.select(name, F.posexplode(runs).alias("pos", "run"))
     one = lambda kinds, run: F.struct(F.xxhash64(run).alias("window"), F.lit(kinds).alias("kinds"))
     run = F.col("run")
-    both = F.when(run.contains(_START), F.array(one(1, chosen(run, False, False)), one(2, chosen(run, False, True)))).otherwise(F.array(one(3, run)))
+    both = F.when(run.contains(_START), F.array(one(1, chosen(run, values, False)), one(2, chosen(run, values, True)))).otherwise(F.array(one(3, run)))
     return each.select(name, "pos", F.inline(both))
 
 
@@ -90,26 +90,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Da
     value of the document and the reverse. Of several places of a window, that on the diagonal with the most
     windows is taken. Both templates, with and without names at starts, are tried.
 
-    Texts that are null or have fewer than five words match nothing, and so do items without a window
-    of three literal words; nor do rows without a doc_id or item_id. Rows that repeat a doc_id count as one document, those of an item_id as one
-    item. Other columns are ignored. Document windows are hash-joined with the items' (broadcast only
+    An item without a window of three literal words - of numbers, units and names nearly throughout - has no template of its own:
+    its windows are matched with their values. Texts that are null or have fewer than five words match nothing, nor do rows without a doc_id or
+    item_id. Rows that repeat a doc_id count as one document; of those that repeat an item_id the least text counts. Other columns are ignored. Document windows are hash-joined with the items' (broadcast only
     below a counted size); words are compared again only for pairs that pass.
     """
     texts = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = texts(benchmark, "item_id")
+    items = texts(benchmark, "item_id").groupBy("item_id").agg(F.min("text").alias("text"))
     own = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(s).alias("starts"), tokens(F.col("text"), s).alias("own")) for s in (False, True)])).alias("t")).select("item_id", "t.*")
     literal = lambda p: F.size(F.filter(F.slice("own", p + 1, WORDS), lambda w: ~w.startswith(_MARK)))
     # only the items' windows need literal words: a document's window that equals one has as many
     iw = _by_template(windows(items, "item_id")).join(own, ["item_id", "starts"]).where(literal(F.col("pos")) >= LITERAL)
-    iw = checkpoint(iw.select("item_id", "starts", F.col("pos").alias("item_pos"), "window").distinct())
-    asked = iw.select("item_id", "item_pos", "window", F.when(F.col("starts"), 2).otherwise(1).alias("own_kind"))
+    columns = ["item_id", "starts", F.col("pos").alias("item_pos"), "window"]
+    iw = checkpoint(iw.select(*columns).distinct())
+    dense = items.join(iw.select("item_id").distinct(), "item_id", "left_anti")
+    exact = checkpoint(_by_template(windows(dense, "item_id", True)).select(*columns).distinct())
+    kinds = [(False, iw)] + ([(True, exact)] if exact.take(1) else [])
+    iw = iw.unionByName(exact)
+    asked = lambda iw: iw.select("item_id", "item_pos", "window", F.when(F.col("starts"), 2).otherwise(1).alias("own_kind"))
     n = iw.count()
     total = iw.groupBy("item_id", "starts").agg(F.countDistinct("window").alias("item_windows"))
     region = ["doc_id", "item_id", "starts", "wide", "region"]
 
     def hit(some: DataFrame) -> DataFrame:
-        found = windows(texts(some, "doc_id"), "doc_id").join(F.broadcast(asked) if n <= BROADCAST_IDS else asked, "window").where(F.col("kinds").bitwiseAND(F.col("own_kind")) > 0)
-        return found.select("doc_id", "item_id", (F.col("own_kind") == 2).alias("starts"), (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
+        out = None
+        for values, own_windows in kinds:
+            theirs = asked(own_windows)
+            found = windows(texts(some, "doc_id"), "doc_id", values).join(F.broadcast(theirs) if n <= BROADCAST_IDS else theirs, "window").where(F.col("kinds").bitwiseAND(F.col("own_kind")) > 0)
+            found = found.select("doc_id", "item_id", (F.col("own_kind") == 2).alias("starts"), (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "window").distinct()
+            out = found if out is None else out.union(found)
+        return out
 
     hits = hit(docs)
     # each diagonal alone, and bands of 2 * SHIFT of which each overlaps the next by half

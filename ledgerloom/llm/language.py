@@ -13,8 +13,8 @@ from .common import by_batch, chunks, table, text_bytes
 
 #: Labelled documents of each language that a model learns from: those least by a hash of doc_id and text.
 SAMPLE = 500
-#: Languages that a model learns: those with the most labelled documents.
-LANGUAGES = 128
+#: Labelled documents that a model learns from in all: beyond ROWS / SAMPLE languages each has fewer, so that none is left out.
+ROWS = 64_000
 #: Bytes of context, and languages whose contexts share a table.
 ORDER, GROUP = 3, 32
 _BLANK = 32
@@ -155,31 +155,31 @@ class Model:
         return -np.log2(n / n.sum())
 
 
-def learn(docs: DataFrame, per_language: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+def learn(docs: DataFrame, per_language: int = SAMPLE, rows: int = ROWS) -> Model:
     """A model from text and lang of docs whose crc32(doc_id as text) mod 3 is not 1.
 
-    It learns the `languages` values of lang with the most documents (ties to the one that sorts first), and
-    reads the per_language documents of each that come first by a hash of doc_id and text, whole; equal
-    rows count once. Rows without lang, doc_id or any letter are not learned from; with none left there
-    are no languages.
+    It learns every value of lang from a sample of at most `rows` documents: per_language of each, or as many as leave room for all
+    (one each of the most frequent ones, ties to the one that sorts first, if there are more values than rows). They are those that
+    come first by a hash of doc_id and text, and are read whole; equal rows count once. Rows without lang, doc_id or any letter are not learned
+    from; with none left there are no languages.
     """
     some = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     fit = some.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     fit = fit.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
-    many = fit.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()  # bounded by `languages`
+    many = fit.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(rows).collect()  # no more than are learned from
     langs = sorted(r.lang for r in many)
     if not langs:
         return Model([], pd.DataFrame({"lang": [], "code": [], "n": []}))
+    each, number = max(1, min(per_language, rows // len(langs))), {x: i for i, x in enumerate(langs)}
     # hashes spread evenly, so the first ones lie below this; only about four times as many rows are ranked
-    upto = {r.lang: max(r.least, (2**63 - 1) * min(r.n, 4 * per_language) // r.n) for r in many}
-    pick = F.create_map(*[F.lit(x) for r in langs for x in (r, upto[r])])
-    ids = fit.where(F.col("h") <= F.try_element_at(pick, F.col("lang"))).select("doc_id", "lang", "h").distinct()
+    pick = docs.sparkSession.createDataFrame([(r.lang, number[r.lang], max(r.least, (2**63 - 1) * min(r.n, 4 * each) // r.n)) for r in many], "lang string, number int, upto long")
+    pick = F.broadcast(pick)
+    ids = fit.join(pick, "lang").where("h <= upto").select("doc_id", "lang", "h", "number").distinct()
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).drop("k")
-    rows = fit.join(F.broadcast(ids), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"])  # per_language * languages ids at most
-    number = F.create_map(*[F.lit(x) for i, r in enumerate(langs) for x in (r, i)])
-    rows = rows.select(F.element_at(number, F.col("lang")).alias("lang"), F.lower("text").alias("text"))
-    counts = rows.mapInArrow(by_batch(_count), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    ids = ids.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).drop("k")
+    sample = fit.join(F.broadcast(ids), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"])  # `rows` ids at most
+    sample = sample.select(F.col("number").alias("lang"), F.lower("text").alias("text"))
+    counts = sample.mapInArrow(by_batch(_count), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     return Model(langs, counts.toPandas())  # bounded by the sample
 
 
@@ -205,10 +205,11 @@ def _score(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         codes = _grams(data, offsets)
         total = np.zeros((part.num_rows, len(model.langs) + 1))
         row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-        for at in range(0, len(data), STEP):
-            rows = row[at : at + STEP]
+        step = max(256, min(STEP, (STEP << 7) // len(model.langs)))  # the fewer, the more languages
+        for at in range(0, len(data), step):
+            rows = row[at : at + step]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            bits = [t.lengths(codes[at : at + STEP]) for t in trees] + [plain[data[at : at + STEP], None]]
+            bits = [t.lengths(codes[at : at + step]) for t in trees] + [plain[data[at : at + step], None]]
             sums = [np.add.reduceat(b, first, axis=0, dtype=np.float64) for b in bits]
             total[rows[first]] += np.concatenate(sums, axis=1)
         totals.append(total[:, :-1])

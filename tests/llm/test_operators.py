@@ -255,11 +255,13 @@ def test_code_lengths_equal_brute_force(spark, monkeypatch):
 def test_language_of_repeats_long_texts_and_many_labels(spark):
     rows = [(7, "the same text again and again", "aa")] * 2000 + [(8, "der gleiche text noch einmal " * 20_000, "bb")] + [(100 + i, f"word{i} und", f"x{i:04d}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.learn(df, per_language=5, languages=20)
-    assert len(model.langs) == 20 and model.langs[0] == "aa"
+    model = language.learn(df, per_language=5, rows=320)
+    assert model.langs == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1})  # one document of each, none left out
     assert model.n[model.lang == 0].sum() == len(rows[0][1])  # equal rows count once
     got = {x.doc_id: x.lang_pred for x in language.identify(df, model).where("doc_id < 100").collect()}
-    assert got[7] == "aa" and got[8] in model.langs
+    assert got[7] == "aa" and got[8] == "bb"
+    few = language.learn(df, per_language=5, rows=20)
+    assert len(few.langs) == 20 and few.langs[0] == "aa"
 
 
 def test_unknown_languages_are_rejected(spark):
@@ -393,6 +395,15 @@ def test_decontamination_finds_reparameterised_items(spark, none):
     assert decontamination.decontaminate(df, bench.where("item_id < 0")).count() == len(rows)
 
 
+def test_decontamination_finds_items_of_numbers_by_their_values(spark, none):
+    dense, words = "12 34 56 78 90 11.5 22 kg 33", "Compute 7 + 8, 9 + 1 and 2 + 3"
+    bench = spark.createDataFrame([(1, dense), (2, words), (3, "5 6 7"), (2, "zzz " + words), (1, None)], "item_id long, text string")
+    docs = [(1, f"{prose(20, 1)} {dense} {prose(20, 2)}"), (2, f"{prose(20, 3)} 13 35 57 79 91 12.5 23 kg 34 {prose(9, 4)}"), (3, f"{prose(9, 5)}. {words}"), (4, "5 6 7 5 6 7"), (5, None), (1, dense), (6, "12 34 56 78 90 11.5 22 kg 99")]
+    got = {(r.doc_id, r.item_id, r.same_values) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1, True), (3, 2, True), (6, 1, True)}  # the last holds four of five windows
+    assert decontamination.contaminated(none, bench).count() == 0
+
+
 def test_decontamination_with_inserted_words_and_names_at_starts(spark):
     w = prose(54, 41).split()
     item = "Mary has 12 apples and " + prose(12, 42) + ".\nMary sells them at noon to " + prose(12, 43) + ". Mary goes home with " + prose(12, 44)
