@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import entities as E
 from ..operators import matching as M
 from ..operators import queues as Q
+from ..operators import traces as R
+from ..operators.paging import paged
 from ..session import shared_folder
 from ..sources.pages import pages
 from ..sources.views import duckdb_views, spark_views
@@ -106,10 +108,48 @@ def ledger_auto_matched(spark, sf_dir):
     return M.auto_matched(ledger, made).select("ledger_id", "match_status", "document_id", "match_confidence")
 
 
-QUERIES = {f.__name__: f for f in (tags_normalised, catalog_rows, bills_between, next_user_job, proposal_statuses, ledger_auto_matched)}
+def _traced(spark, sf_dir):
+    """Events of documents as events of traces: every fiftieth begins a run, every seventieth ends one, and pauses do."""
+    j, = spark_views(spark, sf_dir, "job")
+    k = F.col("job_id")
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    return j.select(
+        "document_id", F.col("created_at").alias("ts"), k.alias("seq"), F.when(k % 50 == 0, "START").when(k % 70 == 0, "END").otherwise(pick(*R.STAGES)).alias("stage"),
+        F.when(k % 2 == 0, "amount").otherwise(F.col("event_type")).alias("field"), F.concat(F.lit("mail x@y.de "), _text("job_id")).alias("value"), pick("str", "int", "str").alias("kind"),
+        pick("RULE", "LLM", "CACHE", "RULE", "RULE").alias("method"), F.when(k % 4 != 0, (k % 100) / 100).alias("confidence"), F.lit(None).cast("string").alias("notes"),
+    )
+
+
+def trace_events(spark, sf_dir):
+    """Every event with its run, its place there, and an outcome that is safe to store."""
+    return R.safe(R.trace_events(_traced(spark, sf_dir), "20 hours")).select("document_id", "seq", "run", "place", "outcome")
+
+
+def trace_totals(spark, sf_dir):
+    out = R.trace_totals(R.trace_events(_traced(spark, sf_dir), "20 hours"))
+    return out.drop("started_at", "completed_at")
+
+
+def ledger_page(spark, sf_dir):
+    """The twentieth page of forty ledger rows, newest first, read from the range that holds it."""
+    ledger, = spark_views(spark, sf_dir, "ledger")
+    return paged(ledger.select("ledger_id", "date", "amount"), [F.desc("date"), F.col("ledger_id")], 500).page(20, 40).select("ledger_id", F.col("amount").cast("double").alias("amount"))
+
+
+QUERIES = {f.__name__: f for f in (trace_events, trace_totals, ledger_page, tags_normalised, catalog_rows, bills_between, next_user_job, proposal_statuses, ledger_auto_matched)}
 
 _STATUS = all_pairs(LIVE) + RANKED + ", made AS (SELECT document_id, ledger_id, CAST(total AS INT) AS total, CASE WHEN total >= 700000 OR is_exact THEN 'AUTO_MATCHED' ELSE 'PENDING' END AS status FROM best) "
+_TRACED = duckdb_views("job") + """, e AS (SELECT document_id, created_at AS ts, job_id AS seq, CASE WHEN job_id % 50 = 0 THEN 'START' WHEN job_id % 70 = 0 THEN 'END' ELSE ['EXTRACTION', 'NORMALIZATION', 'MATCHING', 'SUGGESTION', 'DECISION', 'WRITE'][job_id % 6 + 1] END AS stage,
+    CASE WHEN job_id % 2 = 0 THEN 'amount' ELSE event_type END AS field, ['RULE', 'LLM', 'CACHE', 'RULE', 'RULE'][job_id % 5 + 1] AS method, CASE WHEN job_id % 4 <> 0 THEN job_id % 100 END AS hundredths FROM job),
+  p AS (SELECT *, lag(ts) OVER w AS before, lag(stage) OVER w AS prior FROM e WINDOW w AS (PARTITION BY document_id ORDER BY ts, seq)),
+  r AS (SELECT *, sum(CASE WHEN before IS NULL OR stage = 'START' OR prior = 'END' OR ts > before + INTERVAL 20 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM p),
+  t AS (SELECT *, row_number() OVER (PARTITION BY document_id, run ORDER BY ts, seq) AS place FROM r) """
 ORACLE_SQL = {
+    "trace_events": _TRACED + """SELECT document_id, seq, run, place, CASE WHEN field = 'amount' THEN concat('amount=mail x@y.de ', seq) WHEN seq % 3 <> 1 THEN concat(field, '=', chr(39), 'mail [REDACTED] ', seq, chr(39)) ELSE concat(field, '=<int>') END AS outcome FROM t""",
+    "trace_totals": _TRACED + """SELECT document_id, run, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms, count(*) AS n_events, count(*) FILTER (stage = 'EXTRACTION') AS n_extraction, count(*) FILTER (stage = 'NORMALIZATION') AS n_normalization,
+      count(*) FILTER (stage = 'MATCHING') AS n_matching, count(*) FILTER (stage = 'SUGGESTION') AS n_suggestion, count(*) FILTER (stage = 'DECISION') AS n_decision, count(*) FILTER (stage = 'WRITE') AS n_write, count(DISTINCT field) AS n_fields,
+      bool_or(method = 'LLM') AS model_used, count(*) FILTER (method = 'CACHE') AS from_cache, CAST(sum(hundredths) * 10000 // count(hundredths) AS BIGINT) AS confidence, max_by(field, place) FILTER (stage = 'DECISION') AS decided FROM t GROUP BY document_id, run""",
+    "ledger_page": duckdb_views("ledger") + "SELECT ledger_id, CAST(amount AS DOUBLE) AS amount FROM ledger ORDER BY date DESC, ledger_id LIMIT 40 OFFSET 760",
     "tags_normalised": """SELECT c_custkey, CASE c_custkey % 11 WHEN 0 THEN concat(c_name, '|b') WHEN 1 THEN concat(c_name, '|n|m') WHEN 2 THEN 'zero|list' END AS tags,
       CASE c_custkey % 11 WHEN 6 THEN 'Unexpected tags format: expected list or None, got dict' WHEN 7 THEN 'Unexpected tags format: expected list or None, got str' WHEN 8 THEN 'Unexpected tags format: expected list or None, got int'
         WHEN 9 THEN 'Tags are not JSON' END AS error FROM customer""",
