@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from functools import reduce
 
 import numpy as np
@@ -29,6 +30,12 @@ def with_ids(df: DataFrame, ids: DataFrame, how: str, n_ids: int | None = None)
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ids.columns, how)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and checkpoints that no frame refers to any more: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def running_totals(rows: DataFrame, bucket: list[str], order: list, sums: dict[str, str], within: list[str] | None = None, totals: bool = False) -> DataFrame:
     """Adds exclusive running totals over a total order that starts with the bucket.
 
