@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import matching
 from .queues import unmatched
 from .sync import upsert
@@ -14,11 +15,19 @@ from .sync import upsert
 
 @dataclass
 class Run:
-    """Frames of a run; nothing is written."""
+    """Frames of a run, computed once and kept in the checkpoint folder, and how many rows proposals and links have."""
 
     proposals: DataFrame
     links: DataFrame
     audit: DataFrame
+    counts: dict[str, int]
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, computed once, and the number of its rows, observed in the same job."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
 
 
 def run(docs: DataFrame, ledger: DataFrame, known: DataFrame, pending: DataFrame, threshold: int = matching.AUTO, user: int | None = None, **settings) -> Run:
@@ -26,18 +35,20 @@ def run(docs: DataFrame, ledger: DataFrame, known: DataFrame, pending: DataFrame
 
     docs: eligible documents. ledger: the cache. known: every pair (document_id, ledger_id) proposed so
     far. pending: open proposals (document_id, ledger_id, total), which take part in linking. Documents
-    that are linked or have open proposals are left out; known pairs are not proposed again.
+    that are linked or have open proposals are left out; known pairs are not proposed again. user: for one user's rows and
+    nobody's; owner (a setting of top_matches): for all users at once. Matching runs once: links, audit and
+    counts are made of its stored result.
     """
     linked = ledger.where("match_status = 'MATCHED' and document_id is not null").select("document_id").distinct()
     todo = docs.join(linked, "document_id", "left_anti").join(pending.select("document_id").distinct(), "document_id", "left_anti")
     found = matching.top_matches(todo, unmatched(ledger, user), **settings).select("document_id", F.col("tx_ledger_id").alias("ledger_id"), "total", "reasons")
-    proposals = found.join(known.select("document_id", "ledger_id").distinct(), ["document_id", "ledger_id"], "left_anti")
+    proposals, n_proposals = _counted(found.join(known.select("document_id", "ledger_id").distinct(), ["document_id", "ledger_id"], "left_anti"))
     every = pending.select("document_id", "ledger_id", "total").unionByName(proposals.select("document_id", "ledger_id", "total")).withColumn("status", F.lit("PENDING"))
-    links = matching.unambiguous(every, threshold).select("document_id", "ledger_id", "total")
+    links, n_links = _counted(matching.unambiguous(every, threshold).select("document_id", "ledger_id", "total"))
     audit = proposals.select("document_id", "ledger_id", F.lit("PROPOSED").alias("final_state"), F.lit(False).alias("auto_applied")).unionByName(
         links.select("document_id", "ledger_id", F.lit("LINKED").alias("final_state"), F.lit(True).alias("auto_applied"))
     )
-    return Run(proposals, links, audit)
+    return Run(proposals, links, audit, {"proposals_created": n_proposals, "auto_linked": n_links})
 
 
 @dataclass
@@ -62,15 +73,14 @@ def reconcile(ledger: DataFrame, fetched: DataFrame, docs: DataFrame, known: Dat
     ledger and fetched have the same columns but for MATCH_COLUMNS.
     """
     source = [c for c in ledger.columns if c not in ("ledger_id", *MATCH_COLUMNS)]
-    now = ledger
+    now, synced = ledger, 0
     if not skip_sync:
-        old = ledger.limit(0) if full_sync else ledger
-        now = upsert(old, fetched.select("ledger_id", *source), ["ledger_id"], source, list(MATCH_COLUMNS)).drop("change")
-        now = now.withColumn("match_status", F.coalesce("match_status", F.lit("UNMATCHED"))).select(ledger.columns)
+        old, seen = ledger.limit(0) if full_sync else ledger, Observation()
+        now = upsert(old, fetched.observe(seen, F.count(F.lit(1)).alias("n")).select("ledger_id", *source), ["ledger_id"], source, list(MATCH_COLUMNS)).drop("change")
+        now = checkpoint(now.withColumn("match_status", F.coalesce("match_status", F.lit("UNMATCHED"))).select(ledger.columns))
+        synced = seen.get["n"]
     done = run(docs, now, known, pending, **settings)
-    synced = F.lit(0).cast("long") if skip_sync else F.count("*")
-    one = lambda name, df, n=None: df.agg((F.count("*") if n is None else n).alias("n")).select(F.lit(name).alias("metric"), F.col("n").cast("long").alias("n"))
-    counters = one("transactions_synced", fetched, synced).unionByName(one("proposals_created", done.proposals)).unionByName(one("auto_linked", done.links))
+    counters = ledger.sparkSession.createDataFrame([(k, int(n)) for k, n in ({"transactions_synced": synced} | done.counts).items()], "metric string, n long")
     every = pending.select("document_id", "ledger_id", "total").unionByName(done.proposals.select("document_id", "ledger_id", "total")).withColumn("status", F.lit("PENDING"))
     if dry_run:
         return Outcome(ledger, pending.select("document_id", "ledger_id", "total").withColumn("status", F.lit("PENDING")), done.audit.limit(0), counters)
