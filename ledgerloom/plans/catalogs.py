@@ -115,7 +115,7 @@ def _traced(spark, sf_dir):
     pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     return j.select(
         "document_id", F.col("created_at").alias("ts"), k.alias("seq"), F.when(k % 50 == 0, "START").when(k % 70 == 0, "END").otherwise(pick(*R.STAGES)).alias("stage"),
-        F.when(k % 2 == 0, "amount").otherwise(F.col("event_type")).alias("field"), F.concat(F.lit("mail x@y.de "), _text("job_id")).alias("value"), pick("str", "int", "str").alias("kind"),
+        F.when(k % 2 == 0, "amount").otherwise(F.col("event_type")).alias("field"), F.concat(F.lit("mail x@y.de k"), _text("job_id")).alias("value"), pick("str", "int", "str").alias("kind"),
         pick("RULE", "LLM", "CACHE", "RULE", "RULE").alias("method"), F.when(k % 4 != 0, (k % 100) / 100).alias("confidence"), F.lit(None).cast("string").alias("notes"),
     )
 
@@ -145,7 +145,7 @@ _TRACED = duckdb_views("job") + """, e AS (SELECT document_id, created_at AS ts,
   r AS (SELECT *, sum(CASE WHEN before IS NULL OR stage = 'START' OR prior = 'END' OR ts > before + INTERVAL 20 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM p),
   t AS (SELECT *, row_number() OVER (PARTITION BY document_id, run ORDER BY ts, seq) AS place FROM r) """
 ORACLE_SQL = {
-    "trace_events": _TRACED + """SELECT document_id, seq, run, place, CASE WHEN field = 'amount' THEN concat('amount=mail x@y.de ', seq) WHEN seq % 3 <> 1 THEN concat(field, '=', chr(39), 'mail [REDACTED] ', seq, chr(39)) ELSE concat(field, '=<int>') END AS outcome FROM t""",
+    "trace_events": _TRACED + """SELECT document_id, seq, run, place, CASE WHEN field = 'amount' THEN concat('amount=mail x@y.de k', seq) WHEN seq % 3 <> 1 THEN concat(field, '=', chr(39), 'mail [REDACTED] k', seq, chr(39)) ELSE concat(field, '=<int>') END AS outcome FROM t""",
     "trace_totals": _TRACED + """SELECT document_id, run, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms, count(*) AS n_events, count(*) FILTER (stage = 'EXTRACTION') AS n_extraction, count(*) FILTER (stage = 'NORMALIZATION') AS n_normalization,
       count(*) FILTER (stage = 'MATCHING') AS n_matching, count(*) FILTER (stage = 'SUGGESTION') AS n_suggestion, count(*) FILTER (stage = 'DECISION') AS n_decision, count(*) FILTER (stage = 'WRITE') AS n_write, count(DISTINCT field) AS n_fields,
       bool_or(method = 'LLM') AS model_used, count(*) FILTER (method = 'CACHE') AS from_cache, CAST(sum(hundredths) * 10000 // count(hundredths) AS BIGINT) AS confidence, max_by(field, place) FILTER (stage = 'DECISION') AS decided FROM t GROUP BY document_id, run""",
