@@ -14,6 +14,7 @@ from ..operators import reconcile as R
 from ..operators import splits as S
 from ..operators import suggestions as G
 from ..operators import sync as Y
+from ..session import spread
 from ..sources import tables as T
 from ..sources.views import duckdb_views, spark_views
 from .ledgering import _accepted
@@ -110,6 +111,7 @@ def ledger_updates(spark, sf_dir):
 
 def _read(spark, sf_dir):
     p, = spark_views(spark, sf_dir, "proposal")
+    p = spread(p)
     k = F.col("document_id")
     d = "decimal(18,4)"
     line = F.struct(F.lit("line").alias("description"), F.lit(2).cast(d).alias("quantity"), F.lit(0).cast(d).alias("unit_price"), F.col("amount").cast(d).alias("total"), F.lit(None).cast(d).alias("tax_rate"))
