@@ -11,6 +11,8 @@ from ..session import checkpoint
 
 #: Rows of a range, about.
 RANGE = 100_000
+#: Ranges at most: their sizes and the rows that their limits are drawn from come to the driver. Beyond RANGES times size rows the ranges hold more.
+RANGES = 1024
 
 
 @dataclass
@@ -36,12 +38,12 @@ class Pages:
 
 
 def paged(df: DataFrame, order: list[Column], size: int = RANGE) -> Pages:
-    """df for paging by an order, which should be total: end it with a key. The number of ranges follows the number of rows.
+    """df for paging by an order, which should be total: end it with a key. The number of ranges follows the number of rows, up to RANGES.
 
     Rows are dealt out by ranges of the order, so that each page lies in one range or two neighbours; their sizes, one number
     for each range, come to the driver.
     """
-    ranges = max(1, -(-df.count() // size))
+    ranges = min(RANGES, max(1, -(-df.count() // size)))
     dealt = checkpoint(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
     starts, before = [], 0
     for r in sorted(dealt.groupBy("__range").agg(F.count("*").alias("n")).collect()):
