@@ -19,6 +19,8 @@ from ..session import checkpoint, shared_folder, ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which an id list (one long each) is broadcast: 32 MB at most.
 BROADCAST_IDS = 2_000_000
+#: Edges of a graph that one task takes in a round of components().
+EDGES = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,16 +84,23 @@ def components(edges: DataFrame) -> DataFrame:
     def stars(e: DataFrame) -> bool:
         """Whether each edge leads from a node that has no other to one that has none."""
         ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
-        return not ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1").take(1)
+        return not fewer(ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1")).take(1)
 
-    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not stars(e):
+    def turn(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = fewer(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        small = fewer(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
+        return checkpoint(fewer(small.union(fewer(low.select("u", F.col("m").alias("v")))).distinct()))
+
+    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    tasks = 1 + e.count() // EDGES  # the edges of later rounds are no more
+    fewer = lambda df: df.coalesce(tasks)
+    e = fewer(e)
+    while not stars(e):
+        e = turn(e)
+        release(e.sparkSession)
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     )

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, by_batch, checkpoint, components, lists, mix, shingles, table, with_ids, word_hashes
+from .common import U, by_batch, checkpoint, components, lists, mix, release, shingles, table, with_ids, word_hashes
 
 #: Bits of an odd sketch.
 BITS = 512
 #: Documents, or sketches of a bucket, compared with as many others in one task; shingles that a block of documents holds.
 BLOCK, SKETCHES, ITEMS = 256, 1024, 1 << 22
+#: Members of a bucket up to which it is compared whole, in one task with others of about DEAL rows; larger buckets are compared in blocks.
+SMALL, DEAL = 64, 20_000
 _NO_ID = -(2**63)
 
 
@@ -110,6 +112,47 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
 
 
+def _distance(a: str, b: str):
+    """XOR population count of two columns of sketches."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
+
+
+def _bucket_links(percent: int, most: int):
+    """Links of the few of many small buckets whose sizes and sketches allow the threshold: in each bucket, as many as join its labels."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "sid"])
+        sid, n, few = (pdf[c].to_numpy() for c in ("sid", "n", "few"))
+        sketch = np.stack([np.asarray(x, np.int64) for x in pdf["sketch"]]).view(U)
+        starts = np.flatnonzero(np.diff(pdf["key"].to_numpy(), prepend=pdf["key"].iat[0] - 1))
+        size = np.diff(np.append(starts, len(pdf)))
+        start, wide = np.repeat(starts, size), np.repeat(size, size)
+        # a number of each label of each bucket
+        label = np.unique(np.stack([start, pdf["label"].to_numpy()], axis=1), axis=0, return_inverse=True)[1].reshape(-1).tolist()
+        parent, asked, found = list(range(len(pdf))), np.flatnonzero(few), []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for at in range(0, len(asked), BLOCK * 16):
+            one = asked[at : at + BLOCK * 16]
+            i = np.repeat(one, wide[one])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(wide[one]) - wide[one], wide[one]) + start[i]
+            ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+            for u, v in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                x, y = root(label[u]), root(label[v])
+                if x != y:
+                    parent[x] = y
+                    found.append((int(sid[u]), int(sid[v])))
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
 def _sketch_links(percent: int, most: int):
     """Links between a block of the few and one of all whose sizes and sketches allow the threshold."""
 
@@ -187,9 +230,8 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = checkpoint(keys.join(buckets, "key").select("key", "sid", "rep", "rank", "c"))
     pairs = shared.where("sid <> rep").select("sid", "rep", "rank").distinct()
     a, b = [nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("sid", "rep")]
-    xor = F.aggregate(F.zip_with("s_sid", "s_rep", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = most_odd_bits(percent, rows * bands)
-    fits = (F.least("n_sid", "n_rep") * 100 >= F.greatest("n_sid", "n_rep") * percent) & (xor <= most)
+    fits = (F.least("n_sid", "n_rep") * 100 >= F.greatest("n_sid", "n_rep") * percent) & (_distance("s_sid", "s_rep") <= most)
     stars = checkpoint(pairs.join(a, "sid").join(b, "rep").where(fits).select("sid", "rep", "rank"))
 
     def sets(ids: DataFrame) -> DataFrame:
@@ -209,28 +251,44 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # each node with the least of its representatives, which most of its class share
     first = stars.groupBy("sid").agg(F.min(F.struct("rank", "rep")).alias("m")).select(F.col("sid").alias("u"), F.col("m.rep").alias("v"))
     links = confirmed(first)
+    del keys, buckets, pairs, a, b, stars, first
+    release(docs.sparkSession)
 
     def labelled(df: DataFrame, labels: DataFrame, c: str = "sid", name: str = "label") -> DataFrame:
         return df.join(labels.toDF(c, name), c, "left").withColumn(name, F.coalesce(name, c))
 
     # what this leaves apart from a bucket's representative may still be linked with it or another member
-    rest = checkpoint(labelled(labelled(shared.select("key", "sid", "rep"), links), links, "rep", "main").withColumn("few", F.col("label") != F.col("main")))
+    rest = checkpoint(labelled(labelled(shared.select("key", "sid", "rep", "c"), links), links, "rep", "main").withColumn("few", F.col("label") != F.col("main")))
     crowded = rest.where("few").select("key").distinct()
-    rest = checkpoint(rest.join(crowded, "key", "left_semi").select("key", "sid", "label", "few").join(nodes.select("sid", "n", "sketch"), "sid"))
-    more = _few_by_all(rest, "key", SKETCHES, "sketch").groupBy("key", "i", "j").applyInPandas(_sketch_links(percent, most), "u long, v long")
-    more = checkpoint(more.distinct())
+    rest = checkpoint(rest.join(crowded, "key", "left_semi").select("key", "sid", "label", "few", "c").join(nodes.select("sid", "n", "sketch"), "sid"))
+    more = _few_by_all(rest.where(F.col("c") > SMALL), "key", SKETCHES, "sketch").groupBy("key", "i", "j").applyInPandas(_sketch_links(percent, most), "u long, v long")
+    deals = 1 + rest.count() // DEAL  # many small buckets in one group, each whole
+    small = rest.where(F.col("c") <= SMALL).groupBy(F.pmod(F.xxhash64("key"), F.lit(deals)).alias("deal")).applyInPandas(_bucket_links(percent, most), "u long, v long")
+    more = checkpoint(more.union(small).distinct())
+    del shared, rest, crowded, small
+    release(docs.sparkSession)
     held = confirmed(more)
     exact = checkpoint(components(links.union(held)))
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Links between classes so far, by their labels."""
+        return labelled(labelled(pairs, exact, "u", "a"), exact, "v", "b").select("a", "b").toDF("u", "v")
+
     if more.count() > held.count():
         # groups that sketches connect and full sets so far don't
-        coarse = components(links.union(more)).select(F.col("id").alias("sid"), F.col("label").alias("grp"))
-        parts = labelled(coarse.join(nodes.select("sid", "n"), "sid"), exact)
-        weights = parts.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1")
-        parts = checkpoint(parts.join(weights.select("grp", F.col("m.label").alias("main")), "grp").select("grp", "sid", "label", "n", (F.col("label") != F.col("main")).alias("few")))
-        full = _few_by_all(parts.join(sets(parts), "sid"), "grp", BLOCK, "items")
+        coarse = checkpoint(components(between(more)))
+        release(docs.sparkSession)
+        parts = labelled(nodes.select("sid", "n"), exact).join(coarse.toDF("label", "grp"), "label")
+        main = parts.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max(F.struct("c", "label")).alias("m"))
+        parts = checkpoint(parts.join(main.select("grp", F.col("m.label").alias("main")), "grp").select("grp", "sid", "label", "n", (F.col("label") != F.col("main")).alias("few")))
+        full = _few_by_all(parts, "grp", BLOCK).join(sets(parts), "sid")
         last = checkpoint(full.groupBy("grp", "i", "j").applyInPandas(_links(percent), "u long, v long"))
+        del parts, main, full, coarse
+        release(docs.sparkSession)
         if last.take(1):
-            exact = checkpoint(components(links.union(held).union(last)))
+            joined = components(between(last)).toDF("label", "whole")
+            every = exact.union(joined.join(exact.select("label").distinct(), "label", "left_anti").select("label", "label"))  # with classes of one node
+            exact = checkpoint(every.toDF("id", "label").join(joined, "label", "left").select("id", F.coalesce("whole", "label").alias("label")))
     out = sig.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(labelled(nodes.select("s1", "s2", "sid"), exact), ["s1", "s2"], "left")
     return out.select("doc_id", "th", "n", F.col("label").alias("cls"))
 
