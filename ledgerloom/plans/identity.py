@@ -118,7 +118,8 @@ def split_keys(spark, sf_dir):
 
 
 def weighted_category(spark, sf_dir):
-    return S.weighted_category(_items(spark, sf_dir))
+    i, = spark_views(spark, sf_dir, "line_item")  # without totals, which it has no use for: they sort all lines a second time
+    return S.weighted_category(i.withColumnRenamed("item_order", "order"))
 
 
 def split_categories(spark, sf_dir):
