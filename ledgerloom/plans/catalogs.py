@@ -96,7 +96,7 @@ def next_user_job(spark, sf_dir):
 def proposal_statuses(spark, sf_dir):
     """Matches of exact or high totals are matched at once: here all from 0.7 on."""
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
-    made = M.proposals(M.top_matches(docs, ledger.where(LIVE)), 700_000)
+    made = M.proposals(M.top_matches(docs, ledger.where(LIVE), details=False), 700_000)
     return made.select("document_id", "ledger_id", "total", "status")
 
 
@@ -104,7 +104,7 @@ def ledger_auto_matched(spark, sf_dir):
     """The ledger after these."""
     docs, ledger = spark_views(spark, sf_dir, "proposal", "ledger")
     ledger = ledger.withColumn("document_id", F.when(F.col("match_status") == "MATCHED", F.col("ledger_id")))
-    made = M.proposals(M.top_matches(docs, ledger.where(LIVE)), 700_000)
+    made = M.proposals(M.top_matches(docs, ledger.where(LIVE), details=False), 700_000)
     return M.auto_matched(ledger, made).select("ledger_id", "match_status", "document_id", "match_confidence")
 
 
