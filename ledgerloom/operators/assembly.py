@@ -77,9 +77,13 @@ def encoded(extraction: DataFrame) -> Column:
 
 def decoded(text: Column) -> Column:
     """A struct of STORED with amounts as decimals again; null for text that is no such JSON."""
-    s = F.from_json(text, STORED)
     number = lambda kind: lambda x: F.nullif(x, F.lit("")).try_cast(kind)
-    proposal = _amounts(s["proposal"].withField("amount", s["proposal"]["amount"].try_cast("decimal(18,2)")), OPTIONAL, number("decimal(18,4)"))
-    lines = F.transform(s["line_items"], lambda x: _amounts(x, LINE, number("decimal(18,4)")))
-    state = F.coalesce(s["confidence"]["review_state"], F.lit("MANUAL"))
-    return F.when(s["document_id"].isNotNull(), s.withField("proposal", proposal).withField("line_items", lines).withField("confidence", s["confidence"].withField("review_state", state)))
+
+    def read(s: Column) -> Column:
+        proposal = _amounts(s["proposal"].withField("amount", s["proposal"]["amount"].try_cast("decimal(18,2)")), OPTIONAL, number("decimal(18,4)"))
+        lines = F.transform(s["line_items"], lambda x: _amounts(x, LINE, number("decimal(18,4)")))
+        state = F.coalesce(s["confidence"]["review_state"], F.lit("MANUAL"))
+        return F.when(s["document_id"].isNotNull(), s.withField("proposal", proposal).withField("line_items", lines).withField("confidence", s["confidence"].withField("review_state", state)))
+
+    # a variable is read many times, but a text in its place would be parsed as often
+    return F.get(F.transform(F.array(F.from_json(text, STORED)), read), F.lit(0))
